@@ -24,6 +24,7 @@ def build_session(master: str = "local[8]", app: str = "tarnscope", **extra) ->
         "spark.sql.shuffle.partitions": "8",
         "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **{k.replace("__", "."): v for k, v in extra.items()},
     }
