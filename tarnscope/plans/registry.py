@@ -18,6 +18,7 @@ class Query:
     rows: tuple[str, ...]
     run: QueryFn
     sql: str | None
+    module: str
 
 
 REGISTRY: dict[str, Query] = {}
@@ -33,7 +34,7 @@ def query(name: str, rows: str, sql: str | None = None) -> Callable[[QueryFn], Q
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(prepare(spark), sf_dir)
 
-        REGISTRY[name] = Query(name, tuple(rows.split()), run, sql)
+        REGISTRY[name] = Query(name, tuple(rows.split()), run, sql, fn.__module__)
         return fn
 
     return wrap
