@@ -162,7 +162,7 @@ def _(spark, sf):
 
 UTM = """WITH p AS (SELECT c_custkey AS k, (c_custkey * 977 % 36000) / 1e2 - 180 AS lon, (c_custkey * 613 % 14000) / 1e2 - 70 AS lat FROM customer),
 z AS (SELECT *, least(60, greatest(1, CAST(floor((lon + 180) / 6) AS BIGINT) + 1)) AS zone FROM p),
-c AS (SELECT *, CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + zone AS epsg, 1.6792203946287448e-3 AS n, radians(lat) AS phi, radians(lon - (zone * 6 - 183)) AS lam FROM z),
+c AS (SELECT *, CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + zone AS epsg, (1 / 298257223563e-9) / (2 - 1 / 298257223563e-9) AS n, radians(lat) AS phi, radians(lon - (zone * 6 - 183)) AS lam FROM z),
 t AS (SELECT *, 6378137 / (1 + n) * (1 + n * n / 4 + pow(n, 4) / 64) AS a, 2 * sqrt(n) / (1 + n) AS e,
   sinh(atanh(sin(phi)) - (2 * sqrt(n) / (1 + n)) * atanh((2 * sqrt(n) / (1 + n)) * sin(phi))) AS t FROM c),
 x AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta, n/2 - 2*pow(n,2)/3 + 5*pow(n,3)/16 + 41*pow(n,4)/180 AS a1,
