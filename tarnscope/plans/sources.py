@@ -160,10 +160,7 @@ def _(spark, sf):
     def pair(a, b):
         return F.concat(F.lit("["), a.cast("string"), F.lit(","), b.cast("string"), F.lit(",0.5]"))
 
-    ring = F.concat(F.lit("[[["), F.concat_ws(",", pair(x, y), pair(x + 2, y), pair(x + 2, y + 1), pair(x, y + 1), pair(x, y)), F.lit("]]]"))
-    ring = F.regexp_replace(F.regexp_replace(ring, r"^\[\[\[\[", "[[["), r"^\[\[\[(?!\[)", "[[[")
     text = F.concat(F.lit("["), F.concat(F.lit("["), F.concat_ws(",", pair(x, y), pair(x + 2, y), pair(x + 2, y + 1), pair(x, y + 1), pair(x, y)), F.lit("]")), F.lit("]"))
-    del ring
     f = load(spark, sf, "supplier").select(
         F.struct(
             F.concat(F.lit("nhd-"), s).alias("water_body_id"), F.lit("x").alias("name"), F.concat(F.lit("r"), F.col("s_nationkey") % 3).alias("region"), F.lit("size_class").alias("tier"),
