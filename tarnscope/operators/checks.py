@@ -109,3 +109,12 @@ def bind_claims(drafts: DataFrame, checks: DataFrame, claim: str, verdict: str)
         .when(~F.col(verdict).isin("confirmed", "corrected"), F.col(verdict))
     )
     return joined.withColumn("gap_reason", reason).withColumn("bound", reason.isNull()).drop("_n")
+
+
+def accept_source_change(changes: DataFrame, attempts: DataFrame, unit: str, reason: str) -> DataFrame:
+    """Lineage rows of accepted source changes. A change without a reason, or after an
+    extraction was attempted for its unit, is refused with the cause in the row."""
+    tried = attempts.select(unit).distinct().withColumn("_tried", F.lit(True))
+    joined = changes.join(tried, unit, "left")
+    cause = F.when(F.coalesce(F.trim(F.col(reason)), F.lit("")) == "", "no reason given").when(F.col("_tried"), "already extracted")
+    return joined.withColumn("refused", cause).withColumn("accepted", cause.isNull()).drop("_tried")

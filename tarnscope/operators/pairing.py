@@ -8,10 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _ids(name: str, keys: Sequence[str]) -> list[Column]:
-    return [F.col(f"{name}.{k}") for k in keys]
-
-
 def match_collections(
     scenes: DataFrame, items: DataFrame, keys: Sequence[str], *, product: str, baseline: str, rank: str, item: str
 ) -> DataFrame:
@@ -139,11 +135,11 @@ def products_by_item(pairs: DataFrame, *, product: str, generation: str, complet
     """One product per item: the latest generation wins, others are superseded, and products
     missing a layer are recorded without a pairing."""
     full = complete & F.col("c1_item").isNotNull()
-    order = F.when(full, F.struct(F.col(generation), F.col(product)))
+    order = F.struct(F.col(generation), F.col(product))
     winner = (
         pairs.where(full)
         .groupBy("c1_item")
-        .agg(F.max(order).getField(product).alias("_winner"), F.count(F.lit(1)).alias("_sharing"))
+        .agg(F.max(order).getField(product).alias("_winner"))
     )
     joined = pairs.join(winner, "c1_item", "left")
     status = (
@@ -156,16 +152,17 @@ def products_by_item(pairs: DataFrame, *, product: str, generation: str, complet
     )
 
 
-def pair_copies(first: DataFrame, second: DataFrame, *, uri: str, item: str, keys: Sequence[str]) -> DataFrame:
-    """One item per copy and key, preferring the smallest shared product URI."""
-    a = first.groupBy(*keys, uri).agg(F.min(item).alias("_a"))
-    b = second.groupBy(*keys, uri).agg(F.min(item).alias("_b"))
-    merged = a.join(b, [*keys, uri], "full_outer")
+def pair_copies(items: DataFrame, *, copy: str, copies: tuple[str, str], uri: str, item: str, keys: Sequence[str]) -> DataFrame:
+    """One item per copy and key, preferring the smallest shared product URI.
+
+    Both copies are columns of one aggregation per URI, so they are never joined.
+    """
+    first, second = (F.min(F.when(F.col(copy) == c, F.col(item))) for c in copies)
+    per_uri = items.groupBy(*keys, uri).agg(first.alias("_a"), second.alias("_b"))
     both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
-    grouped = merged.groupBy(*keys).agg(
-        F.min(F.when(both, F.struct(F.col(uri).alias("uri"), F.col("_a").alias("a"), F.col("_b").alias("b")))).alias("s"),
-        F.min("_a").alias("_a"),
-        F.min("_b").alias("_b"),
+    pair = F.struct(F.col(uri).alias("uri"), F.col("_a").alias("a"), F.col("_b").alias("b"))
+    grouped = per_uri.groupBy(*keys).agg(
+        F.min(F.when(both, pair)).alias("s"), F.min("_a").alias("_a"), F.min("_b").alias("_b")
     )
     shared = F.col("s").isNotNull()
     return grouped.select(

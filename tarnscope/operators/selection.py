@@ -35,3 +35,19 @@ def hashed_candidates(
     """Distinct ids in a deterministic hash order. ``limit`` is the caller's sample size."""
     ranked = df.groupBy(source_id).agg(F.min(rank).alias("rank"))
     return ranked if limit is None else ranked.orderBy("rank", source_id).limit(limit)
+
+
+def with_center(bodies: DataFrame, rings: DataFrame, keys: Sequence[str], area: Column) -> DataFrame:
+    """Valid candidates with their center and area band. The center is the area centroid of the
+    polygon, summed over its edges."""
+    from tarnscope.functions.scalars import area_band
+    from tarnscope.operators.geometry import boundary_edges
+
+    edges = boundary_edges(rings, keys)
+    cross = (F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) * F.col("turn")
+    sums = edges.groupBy(*keys).agg(
+        F.sum(cross).alias("_a"), F.sum((F.col("x1") + F.col("x2")) * cross).alias("_x"), F.sum((F.col("y1") + F.col("y2")) * cross).alias("_y")
+    )
+    valid = sums.where(F.col("_a") != 0)
+    center = valid.select(*keys, (F.col("_x") / (F.col("_a") * 3)).alias("center_x"), (F.col("_y") / (F.col("_a") * 3)).alias("center_y"))
+    return bodies.join(center, list(keys)).withColumn("area_band", area_band(area))

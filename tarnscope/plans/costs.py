@@ -25,7 +25,7 @@ def _(spark, sf):
 OCC = "({n} * {f} * (1 - exp(-({d} * {m} / ({n} * {f})))) + {n} * (1 - {f}) * (1 - exp(-({d} * (1 - {m}) / ({n} * (1 - {f}))))))"
 
 
-@query("block_occupancy", "K02 K20", f"""SELECT p_partkey, round({OCC.format(n="(p_size * 100e0)", f="2e-1", d="(p_partkey % 5000 + 1)", m="7e-1")}, 4) AS distinct_blocks FROM part""")
+@query("block_occupancy", "K02", f"""SELECT p_partkey, round({OCC.format(n="(p_size * 100e0)", f="2e-1", d="(p_partkey % 5000 + 1)", m="7e-1")}, 4) AS distinct_blocks FROM part""")
 def _(spark, sf):
     d = (F.col("p_partkey") % 5000 + 1).cast("double")
     return load(spark, sf, "part").select(
@@ -138,13 +138,13 @@ def _(spark, sf):
     return out.groupBy("case", "varied", "factor").agg(F.count(F.lit(1)).alias("scenarios"), F.round(F.sum("history_bytes") / 1e12, 4).alias("history_tb"))
 
 
-@query("overlaid_settings", "K16 K17", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size * 10 ELSE p_size END AS tiles, p_partkey % 7 AS grids, CASE WHEN p_size % 2 = 1 THEN 3 END AS extra FROM part""")
+@query("overlaid_settings", "K16 K17 K20", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size * 10 ELSE p_size END AS tiles, p_partkey % 7 AS grids, CASE WHEN p_size % 2 = 1 THEN 3 END AS extra, CASE WHEN p_size % 2 = 1 THEN 3 ELSE 2 END AS settings FROM part""")
 def _(spark, sf):
     k, s = F.col("p_partkey"), F.col("p_size").cast("bigint")
     base = F.create_map(F.lit("tiles"), s, F.lit("grids"), k % 7)
     over = F.when(s % 2 == 0, F.create_map(F.lit("tiles"), s * 10)).otherwise(F.create_map(F.lit("extra"), F.lit(3).cast("bigint")))
     m = load(spark, sf, "part").select("p_partkey", co.overlay(base, over).alias("m"))
-    return m.select("p_partkey", *[F.try_element_at("m", F.lit(n)).alias(n) for n in ("tiles", "grids", "extra")])
+    return m.select("p_partkey", *[F.try_element_at("m", F.lit(n)).alias(n) for n in ("tiles", "grids", "extra")], F.size("m").alias("settings"))
 
 
 @query("reader_calibration", "K06 K19 F56 F57 F62 F85", """WITH c AS (SELECT l_linenumber AS reader, l_returnflag AS cohort, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS cpu, CAST(sum(l_partkey) AS DOUBLE) AS requested, CAST(sum(l_suppkey) AS DOUBLE) AS decoded FROM lineitem GROUP BY ALL)

@@ -251,7 +251,7 @@ def _(spark, sf):
     return cov.input_differences(a.where("in_primary"), a.where("in_fallback"), ["tile", "month"])
 
 
-@query("tiles_inside_scope", "F77 C10", f"""WITH {ACQUISITIONS}
+@query("tiles_inside_scope", "F77", f"""WITH {ACQUISITIONS}
 SELECT tile, bool_or(in_fallback) AS inside, count(*) AS items FROM acquisitions GROUP BY ALL""")
 def _(spark, sf):
     a = acquisitions(spark, sf)

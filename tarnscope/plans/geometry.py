@@ -308,3 +308,14 @@ def _(spark, sf):
     rows, cols = geo.grid_shape(width, F.lit(10_980), res)
     bounds = geo.grid_bounds(F.lit(600_000), F.lit(4_000_020), width, F.lit(10_980))
     return load(spark, sf, "orders").select(k.alias("k"), rows.alias("rows"), cols.alias("cols"), bounds["east"].alias("east"))
+
+
+@query("candidate_centers", "C19 B40", LAKES.split(",\ntiles AS")[0] + """ SELECT body, round(l + w / 2e0, 4) AS center_x, round(b + h / 2e0, 4) AS center_y,
+  CASE WHEN w * h * 20 < 100000 THEN 'small' WHEN w * h * 20 < 1000000 THEN 'medium' ELSE 'large' END AS area_band FROM lakes""")
+def _(spark, sf):
+    from tarnscope.operators.selection import with_center
+
+    rows = lakes(spark, sf)
+    sizes = geo.polygon_measures(rows, ["body"]).select("body", (F.col("area") * 20).alias("area"))
+    out = with_center(sizes, rows, ["body"], F.col("area"))
+    return out.select("body", F.round("center_x", 4).alias("center_x"), F.round("center_y", 4).alias("center_y"), "area_band")

@@ -168,7 +168,7 @@ def _(spark, sf):
     return ck.reuse_decision(w, s, ["unit"], ["polygon", "version", "resolution"], "error")
 
 
-@query("changed_artifacts", "A07 A15 A21 A22 V02 V34 F91 F93", """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'gone' ELSE 'changed' END AS state FROM documents WHERE doc_id % 11 = 0 OR doc_id % 7 = 0""")
+@query("changed_artifacts", "A07 A15 A21 A22 V02 F91 F93", """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'gone' ELSE 'changed' END AS state FROM documents WHERE doc_id % 11 = 0 OR doc_id % 7 = 0""")
 def _(spark, sf):
     d = load(spark, sf, "documents")
     manifest = d.select("doc_id", F.sha2("text", 256).alias("digest"))
@@ -210,3 +210,12 @@ def _(spark, sf):
         F.date_format(F.min("l_shipdate"), "yyyy-MM-dd").alias("first"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("last"),
         F.count_distinct("l_linenumber").alias("windows"),
     )
+
+
+@query("accepted_source_changes", "V34 V33", """SELECT o_orderkey AS unit, CASE WHEN o_orderkey % 7 = 0 THEN 'no reason given' WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') THEN 'already extracted' END AS refused,
+  o_orderkey % 7 <> 0 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') AS accepted FROM orders""")
+def _(spark, sf):
+    k = F.col("o_orderkey")
+    changes = load(spark, sf, "orders").select(k.alias("unit"), F.when(k % 7 == 0, " ").otherwise("moved").alias("reason"))
+    attempts = load(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("unit"))
+    return ck.accept_source_change(changes, attempts, "unit", "reason").select("unit", "refused", "accepted")

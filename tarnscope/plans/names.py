@@ -36,9 +36,9 @@ SELECT k, CASE WHEN k % 11 <> 0 THEN 'version_01' END AS version,
   CASE WHEN k % 11 <> 0 THEN substr(baseline4, 1, 2) || '.' || substr(baseline4, 3, 2) END AS baseline,
   CASE WHEN k % 11 <> 0 THEN k % 143 + 1 END AS orbit,
   CASE WHEN k % 11 <> 0 THEN strftime(generation_ts, '%Y-%m-%dT%H:%M:%SZ') END AS generation_time,
-  CASE WHEN k % 11 <> 0 THEN regexp_extract(key, '_([A-Za-z0-9]+|l2_flags)[.]', 1) END AS layer,
+  CASE WHEN k % 11 <> 0 THEN """ + LAYER_SQL + """[CAST(k % 14 AS INT) + 1] END AS layer,
   CASE WHEN k % 11 <> 0 THEN right(key, 3) END AS extension,
-  CASE WHEN k % 11 <> 0 THEN product END AS product FROM keys""".replace("regexp_extract(key, '_([A-Za-z0-9]+|l2_flags)[.]', 1)", LAYER_SQL + "[CAST(k % 14 AS INT) + 1]"))
+  CASE WHEN k % 11 <> 0 THEN product END AS product FROM keys""")
 def _(spark, sf):
     keys = object_keys(spark, sf).select("k", nm.key_parts(F.col("key")).alias("parts"))
     return keys.select("k", *[c.alias(n) for n, c in nm.parse_key(F.col("parts")).items()])

@@ -130,7 +130,7 @@ def _(spark, sf):
     i = load(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("k"), F.col("l_linestatus").alias("copy"), F.col("l_linenumber").alias("uri"), F.col("l_partkey").alias("item")
     )
-    out = pr.pair_copies(i.where("copy = 'O'"), i.where("copy = 'F'"), uri="uri", item="item", keys=["k"])
+    out = pr.pair_copies(i, copy="copy", copies=("O", "F"), uri="uri", item="item", keys=["k"])
     return out.withColumn("shared", F.col("note").startswith("shared product"))
 
 

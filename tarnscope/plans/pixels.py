@@ -232,7 +232,7 @@ def _(spark, sf):
     )
 
 
-@query("offset_diagnostic", "F31 W07", PAIRS + """ SELECT tile, band, count(*) AS n, round(quantile_cont(a, 0.01), 2) AS p01, round(quantile_cont(a, 0.5), 2) AS p50 FROM pairs WHERE cls = 'O' GROUP BY ALL""")
+@query("offset_diagnostic", "D18 F31", PAIRS + """ SELECT tile, band, count(*) AS n, round(quantile_cont(a, 0.01), 2) AS p01, round(quantile_cont(a, 0.5), 2) AS p50 FROM pairs WHERE cls = 'O' GROUP BY ALL""")
 def _(spark, sf):
     s = linear(pairs(spark, sf).where("cls = 'O'"), ["tile", "band"], "a", {"p01": 0.01, "p50": 0.5}, bucket=64)
     return s.select("tile", "band", "n", F.round("p01", 2).alias("p01"), F.round("p50", 2).alias("p50"))

@@ -136,7 +136,6 @@ p AS (SELECT label AS item, (vec_id + pos) % 12 AS scl, CASE WHEN (vec_id + pos)
 r AS (SELECT item, scl IN (4, 5, 6, 7) AND red <> 0 AND nir <> 0 AS valid, red * 1e-4 + 6e-1 AS a, nir * 1e-4 + 6e-1 AS b FROM p)
 SELECT item, count(*) AS pixels, count(*) FILTER (valid AND a + b > 1e-6) AS usable, round(min(CASE WHEN valid THEN greatest(-1, least(1, (b - a) / (b + a))) END), 6) AS low, round(max(CASE WHEN valid THEN greatest(-1, least(1, (b - a) / (b + a))) END), 6) AS high FROM r GROUP BY item""")
 def _(spark, sf):
-    """Red and near-infrared stay two columns of one block row, so no band join is needed."""
     e = blocks(spark, sf).where("band in ('red', 'nir')").groupBy("item", "br", "bc").pivot("band", ["red", "nir"]).agg(F.first("values"))
     p = e.select("item", (F.col("br") * 32 + F.col("bc")).alias("vec_id"), F.posexplode(F.arrays_zip("red", "nir")).alias("pos", "v"))
     scl = (F.col("vec_id") + F.col("pos")) % 12

@@ -205,3 +205,12 @@ def _(spark, sf):
         F.lit(32617).alias("epsg"), F.array(F.lit(20.0), F.lit(0.0), F.ascii("l_returnflag").cast("double")).alias("transform"),
     ).withColumn("grid", fs.header_digest())
     return h.groupBy("n", "dtype", "rows").agg(F.count(F.lit(1)).alias("headers"), F.count_distinct("grid").alias("grids"))
+
+
+@query("written_result", "A09", "SELECT o_orderpriority AS priority, count(*) AS n, min(o_orderkey) AS low FROM orders GROUP BY ALL")
+def _(spark, sf):
+    """A result written as JSON under the commit protocol and read back with its schema."""
+    out = load(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("low"))
+    path = scratch_path(spark, "result")
+    fs.write_result(out, path)
+    return spark.read.schema(out.schema).json(path)
