@@ -59,11 +59,11 @@ def two_hop(spark, sf):
     scenes = p.select(
         "k", "product", "tile", "platform", "generation", nm.l1c_name(F.col("product")).alias("l1c")
     )
-    first = p.where(k % 10 != 0).select(nm.l1c_name(F.col("product")).alias("l1c"), F.col("sensing").alias("strip"))
-    later = p.where((k % 10 != 0) & (k % 13 == 0)).select(
-        nm.l1c_name(F.col("product")).alias("l1c"), F.date_format(F.expr("sensing_ts + interval 25 seconds"), "yyyyMMdd'T'HHmmss").alias("strip")
+    later = F.when(k % 13 == 0, F.date_format(F.expr("sensing_ts + interval 25 seconds"), "yyyyMMdd'T'HHmmss"))
+    declared = p.where(k % 10 != 0).select(
+        nm.l1c_name(F.col("product")).alias("l1c"), F.explode(F.array_compact(F.array(F.col("sensing"), later))).alias("strip")
     )
-    strips = pr.datastrips_by_name(first.unionByName(later), name="l1c", strip="strip")
+    strips = pr.datastrips_by_name(declared, name="l1c", strip="strip")
     li = load(spark, sf, "lineitem").where("l_linenumber % 2 = 1").select(
         F.col("l_orderkey").alias("k"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("created"),
