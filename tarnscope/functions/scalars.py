@@ -104,6 +104,13 @@ def flag_exponents(settings: Column) -> Column:
     return F.array_sort(pairs)
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Round half to even on the binary value. The built-in round works on the shortest decimal
+    text of a double, which moves values such as 18.205 the other way."""
+    scale = float(10**digits)
+    return F.rint(value * scale) / scale
+
+
 def share(part: Column, whole: Column, digits: int = 6) -> Column:
     """Rounded ratio, null for a missing part or an empty whole."""
     return F.round(F.try_divide(part, F.nullif(whole, F.lit(0))), digits)

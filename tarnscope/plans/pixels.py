@@ -163,10 +163,10 @@ PAIRS = """WITH raw AS (SELECT l_returnflag AS tile, l_linestatus AS cls, l_line
   (CAST(l_quantity AS BIGINT) * 7 + l_orderkey * 13 + CAST(floor(p_retailprice) AS BIGINT) * 3) % (l_linenumber * 8 + 60) - 40 AS noise,
   CAST(floor(p_retailprice) AS BIGINT) % 4 <> 0 AS clear FROM lineitem JOIN part ON l_partkey = p_partkey),
 pairs AS (SELECT *, a - noise AS s, noise AS d FROM raw)"""
-SUMMARY = """count(*) AS n, round(avg(d), 2) AS mean_difference, round(sqrt(avg(d * d)), 2) AS rms, round(avg(abs(d)), 2) AS mean_absolute,
-  round(avg(a), 2) AS mean_first, round(avg(s), 2) AS mean_second, round(corr(a, s), 4) AS pearson_r,
-  count(*) FILTER (abs(d) > 50) AS disagree, round(count(*) FILTER (abs(d) > 50) / CAST(count(*) AS DOUBLE), 4) AS share_disagree,
-  round(count(*) FILTER (a < 0) / CAST(count(*) AS DOUBLE), 4) AS share_negative_first, round(count(*) FILTER (s < 0) / CAST(count(*) AS DOUBLE), 4) AS share_negative_second,
+SUMMARY = """count(*) AS n, round_even(avg(d), 2) AS mean_difference, round_even(sqrt(avg(d * d)), 2) AS rms, round_even(avg(abs(d)), 2) AS mean_absolute,
+  round_even(avg(a), 2) AS mean_first, round_even(avg(s), 2) AS mean_second, round_even(corr(a, s), 4) AS pearson_r,
+  count(*) FILTER (abs(d) > 50) AS disagree, round_even(count(*) FILTER (abs(d) > 50) / CAST(count(*) AS DOUBLE), 4) AS share_disagree,
+  round_even(count(*) FILTER (a < 0) / CAST(count(*) AS DOUBLE), 4) AS share_negative_first, round_even(count(*) FILTER (s < 0) / CAST(count(*) AS DOUBLE), 4) AS share_negative_second,
   count(*) FILTER (abs(d) > 5000) AS clipped, CASE WHEN 1 - count(*) FILTER (abs(d) > 50) / CAST(count(*) AS DOUBLE) >= 9e-1 THEN 'agree' ELSE 'differs' END AS verdict"""
 STRATA = PAIRS + """, q AS (SELECT *, 'all' AS quality FROM pairs UNION ALL SELECT *, 'both_clear_water' FROM pairs WHERE clear),
 strata AS (SELECT 'all' AS kind, 'all' AS "group", * FROM q UNION ALL SELECT 'tile', tile, * FROM q UNION ALL SELECT 'size', size, * FROM q)"""
@@ -197,29 +197,29 @@ def _(spark, sf):
     return px.histogram_quantiles(hist, ["kind", "group", "band", "cls"], px.QUANTILES)
 
 
-RECORDS = PAIRS + """, records AS (SELECT record, cls, count(*) AS n, round(median(d), 2) AS median, round(avg(d), 2) AS mean,
-  round(count(*) FILTER (abs(d) > 50) / CAST(count(*) AS DOUBLE), 4) AS share_disagree FROM pairs GROUP BY ALL)"""
+RECORDS = PAIRS + """, records AS (SELECT record, cls, count(*) AS n, round_even(median(d), 2) AS median, round_even(avg(d), 2) AS mean,
+  round_even(count(*) FILTER (abs(d) > 50) / CAST(count(*) AS DOUBLE), 4) AS share_disagree FROM pairs GROUP BY ALL)"""
 
 
 def records(spark, sf):
     p = pairs(spark, sf).withColumn("d", F.col("a") - F.col("s"))
     counts = p.groupBy("record", "cls").agg(
-        F.round(F.avg("d"), 2).alias("mean"), F.round(F.count_if(F.abs("d") > 50) / F.count(F.lit(1)), 4).alias("share_disagree")
+        sc.rounded(F.avg("d"), 2).alias("mean"), sc.rounded(F.count_if(F.abs("d") > 50) / F.count(F.lit(1)), 4).alias("share_disagree")
     )
     medians = linear(p, ["record", "cls"], "d", {"median": 0.5}, bucket=16)
-    return medians.join(counts, ["record", "cls"]).select("record", "cls", "n", F.round("median", 2).alias("median"), "mean", "share_disagree")
+    return medians.join(counts, ["record", "cls"]).select("record", "cls", "n", sc.rounded(F.col("median"), 2).alias("median"), "mean", "share_disagree")
 
 
 query("record_summaries", "F28 B61", RECORDS + " SELECT * FROM records")(lambda spark, sf: records(spark, sf))
 
 
-@query("spread_of_record_medians", "F29 F31", RECORDS + """ SELECT cls, count(*) AS records, round(min(median), 2) AS min, round(quantile_cont(median, 0.25), 2) AS p25,
-  round(quantile_cont(median, 0.5), 2) AS median, round(quantile_cont(median, 0.75), 2) AS p75, round(max(median), 2) AS max FROM records WHERE n >= 100 GROUP BY cls""")
+@query("spread_of_record_medians", "F29 F31", RECORDS + """ SELECT cls, count(*) AS records, round_even(min(median), 2) AS min, round_even(quantile_cont(median, 0.25), 2) AS p25,
+  round_even(quantile_cont(median, 0.5), 2) AS median, round_even(quantile_cont(median, 0.75), 2) AS p75, round_even(max(median), 2) AS max FROM records WHERE n >= 100 GROUP BY cls""")
 def _(spark, sf):
     r = records(spark, sf).where(F.col("n") >= sc.MIN_RECORD_PIXELS).select("cls", "median")
     s = linear(r, ["cls"], "median", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, bucket=4)
     return s.select(
-        "cls", F.col("n").alias("records"), *[F.round(c, 2).alias(n) for c, n in (("min", "min"), ("p25", "p25"), ("p50", "median"), ("p75", "p75"), ("max", "max"))]
+        "cls", F.col("n").alias("records"), *[sc.rounded(F.col(c), 2).alias(n) for c, n in (("min", "min"), ("p25", "p25"), ("p50", "median"), ("p75", "p75"), ("max", "max"))]
     )
 
 
