@@ -73,7 +73,7 @@ def day_spine(spark, sf):
     return users.select("user_id", F.explode(days).alias("d")).select("user_id", F.date_format("d", "yyyy-MM-dd").alias("day"))
 
 
-@query("period_accounting", "T08", SPINE + """ SELECT w.user_id, count(*) AS expected, count(h.day) AS present, count(*) - count(h.day) AS missing, 0 AS unexpected,
+@query("period_accounting", "T08", SPINE + """ SELECT w.user_id, count(*) AS expected, count(h.day) AS present, count(*) - count(h.day) AS missing, CAST(0 AS BIGINT) AS unexpected,
   min(CASE WHEN h.day IS NULL THEN CASE WHEN w.user_id % 3 = 0 THEN 'no_data' ELSE 'not_delivered' END END) AS first_reason,
   count(*) FILTER (h.day IS NULL AND w.user_id % 3 <> 0) AS not_delivered FROM want w LEFT JOIN have h USING (user_id, day) GROUP BY w.user_id""")
 def _(spark, sf):

@@ -138,7 +138,7 @@ def _(spark, sf):
     return out.groupBy("case", "varied", "factor").agg(F.count(F.lit(1)).alias("scenarios"), F.round(F.sum("history_bytes") / 1e12, 4).alias("history_tb"))
 
 
-@query("overlaid_settings", "K16 K17 K20", """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size * 10 ELSE p_size END AS tiles, p_partkey % 7 AS grids, CASE WHEN p_size % 2 = 1 THEN 3 END AS extra, CASE WHEN p_size % 2 = 1 THEN 3 ELSE 2 END AS settings FROM part""")
+@query("overlaid_settings", "K16 K17 K20", """SELECT p_partkey, CAST(CASE WHEN p_size % 2 = 0 THEN p_size * 10 ELSE p_size END AS BIGINT) AS tiles, p_partkey % 7 AS grids, CAST(CASE WHEN p_size % 2 = 1 THEN 3 END AS BIGINT) AS extra, CASE WHEN p_size % 2 = 1 THEN 3 ELSE 2 END AS settings FROM part""")
 def _(spark, sf):
     k, s = F.col("p_partkey"), F.col("p_size").cast("bigint")
     base = F.create_map(F.lit("tiles"), s, F.lit("grids"), k % 7)

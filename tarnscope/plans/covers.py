@@ -124,7 +124,8 @@ p AS (SELECT *, unnest(range(3)) AS i FROM r), m AS (SELECT *, unnest(range(2))
 SELECT tile, repetition, ['tile','lake','block'][(i + repetition - 1) % 3 + 1] AS pattern, ['raster','lists'][(j + repetition - 1) % 2 + 1] AS method, i * 2 + j AS position FROM m""")
 def _(spark, sf):
     s = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("tile"))
-    return cv.plan_rows(s, ["tile"], ["tile", "lake", "block"], ["raster", "lists"], 3)
+    out = cv.plan_rows(s, ["tile"], ["tile", "lake", "block"], ["raster", "lists"], 3)
+    return out.withColumn("position", F.col("position").cast("bigint"))
 
 
 @query("ranked_datatakes", "W07 U02", """WITH i AS (SELECT o_custkey % 25 AS region, o_custkey AS grp, strftime(o_orderdate, '%Y-%m') AS strip, o_orderdate AS created, o_orderkey AS item,

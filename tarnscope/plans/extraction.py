@@ -142,8 +142,8 @@ def _(spark, sf):
 
 @query("strategy_differences", "F70 F55 F75", f"""WITH {PIX}, a AS (SELECT lake, item, band, "row", col, value FROM pixels),
 b AS (SELECT lake, item, band, "row", col, CASE WHEN "row" % 17 = 3 AND col % 3 = 0 THEN value + 1 ELSE value END AS value FROM a)
-SELECT *, 'first' AS side, 1 AS surplus FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
-UNION ALL SELECT *, 'second', 1 FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+SELECT *, 'first' AS side, CAST(1 AS BIGINT) AS surplus FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
+UNION ALL SELECT *, 'second', CAST(1 AS BIGINT) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
 def _(spark, sf):
     columns = ["lake", "item", "band", "row", "col", "value"]
     a = pixels(spark, sf).select(*columns)
@@ -152,12 +152,12 @@ def _(spark, sf):
         "value", F.when(changed, F.col("value") + 1).otherwise(F.col("value"))
     )
     out = ex.row_differences(a, b, columns)
-    return out.select(*columns, "side", "surplus")
+    return out.select(*columns[:-1], F.col("value").cast("bigint").alias("value"), "side", "surplus")
 
 
 @query("strategy_signatures", "F70 F75 F44 F51", f"""WITH {PIX}, s AS (SELECT item, count(*) AS n,
   {digest_sql("lake || '|' || band || '|' || row || '|' || col || '|' || value")} AS signature FROM pixels GROUP BY ALL)
-SELECT item, n AS rows, signature, 3 AS strategies, TRUE AS equal FROM s""")
+SELECT item, n AS rows, signature, CAST(3 AS BIGINT) AS strategies, TRUE AS equal FROM s""")
 def _(spark, sf):
     columns = ["lake", "band", "row", "col", "value"]
     parts = None
@@ -208,7 +208,7 @@ def _(spark, sf):
 p AS (SELECT cohort, band, br, bc, count(*) AS n FROM u GROUP BY ALL),
 c AS (SELECT cohort, band, CAST(sum(n) AS BIGINT) AS logical_blocks, count(*) AS unique_blocks,
   CAST(sum(n * (1000 + br * 64 + bc)) AS BIGINT) AS logical_bytes, CAST(sum(1000 + br * 64 + bc) AS BIGINT) AS unique_bytes FROM p GROUP BY ALL)
-SELECT c.*, 4096 AS full_blocks, CAST(4096 * 1000 + 4095 * 2048 AS BIGINT) AS full_bytes,
+SELECT c.*, CAST(4096 AS BIGINT) AS full_blocks, CAST(4096 * 1000 + 4095 * 2048 AS BIGINT) AS full_bytes,
   round(logical_bytes / CAST(unique_bytes AS DOUBLE), 6) AS logical_to_unique FROM c""")
 def _(spark, sf):
     u = load(spark, sf, "lineitem").select(

@@ -60,7 +60,7 @@ mask AS (SELECT body, "row", col, coverage, center_in, least(d0, d1) AS d, CASE
   WHEN least(d0, d1) <= 100 + 1e-9 THEN 3 END AS pixel_class FROM cov)"""
 
 
-MASK_ROWS = """ SELECT body, "row", col, pixel_class, round(greatest(coverage, 0) + 1e-8, 6) AS coverage,
+MASK_ROWS = """ SELECT body, "row", col, CAST(pixel_class AS BIGINT) AS pixel_class, round(greatest(coverage, 0) + 1e-8, 6) AS coverage,
   round(CASE WHEN center_in AND pixel_class < 3 THEN -d ELSE d END + 1e-7, 4) + 0e0 AS edge_distance FROM mask WHERE pixel_class IS NOT NULL"""
 
 
@@ -130,7 +130,7 @@ def _(spark, sf):
 
 
 @query("polygon_measures", "E04 E05 E06 E07", f"""WITH {BODIES} SELECT body, round(w * h - CASE WHEN hole THEN w * h / 4 ELSE 0 END, 4) AS area,
-  round(l, 4) AS west, round(-(t + h), 4) AS south, round(l + w, 4) AS east, round(-t, 4) AS north, CASE WHEN hole THEN 10 ELSE 5 END AS vertices FROM bodies""")
+  round(l, 4) AS west, round(0 - (t + h), 4) AS south, round(l + w, 4) AS east, round(0 - t, 4) AS north, CAST(CASE WHEN hole THEN 10 ELSE 5 END AS BIGINT) AS vertices FROM bodies""")
 def _(spark, sf):
     m = geo.polygon_measures(rings(spark, sf), ["body"])
     return m.select(
@@ -139,7 +139,7 @@ def _(spark, sf):
     )
 
 
-@query("boundary_lengths", "E03 E02", f"""WITH {BODIES} SELECT body, CASE WHEN hole THEN 8 ELSE 4 END AS edges,
+@query("boundary_lengths", "E03 E02", f"""WITH {BODIES} SELECT body, CAST(CASE WHEN hole THEN 8 ELSE 4 END AS BIGINT) AS edges,
   round(2 * (w + h) * CASE WHEN hole THEN 1.5e0 ELSE 1 END, 4) AS boundary_m,
   CAST(2 * (ceil(round(w, 6) / 25) + ceil(round(h, 6) / 25) + CASE WHEN hole THEN ceil(round(w / 2, 6) / 25) + ceil(round(h / 2, 6) / 25) ELSE 0 END) AS BIGINT) AS pieces FROM bodies""")
 def _(spark, sf):
@@ -299,7 +299,7 @@ def _(spark, sf):
     )
 
 
-@query("tile_grid_shapes", "B57 B59", """SELECT o_orderkey AS k, 10980 * 10 // r AS rows, (10980 + o_orderkey % 3 * 12) * 10 // r AS cols, 600000 + (10980 + o_orderkey % 3 * 12) * 10 AS east
+@query("tile_grid_shapes", "B57 B59", """SELECT o_orderkey AS k, CAST(10980 * 10 // r AS BIGINT) AS rows, (10980 + o_orderkey % 3 * 12) * 10 // r AS cols, 600000 + (10980 + o_orderkey % 3 * 12) * 10 AS east
 FROM (SELECT *, [10, 20, 60][CAST(o_orderkey % 3 AS INT) + 1] AS r FROM orders)""")
 def _(spark, sf):
     k = F.col("o_orderkey")

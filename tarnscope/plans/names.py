@@ -178,8 +178,8 @@ def _(spark, sf):
 
 @query("body_classes", "B27 B36 B37 B38 B40 B41 B42 B61 C01 C02", """
 SELECT s_suppkey,
-  CASE WHEN w < 14.142135623730951 THEN 10 WHEN w < 31.622776601683793 THEN 20
-    WHEN w < 70.71067811865476 THEN 50 ELSE 100 END AS size_class,
+  CAST(CASE WHEN w < 14.142135623730951 THEN 10 WHEN w < 31.622776601683793 THEN 20
+    WHEN w < 70.71067811865476 THEN 50 ELSE 100 END AS BIGINT) AS size_class,
   CASE WHEN s_suppkey % 9 = 0 THEN 'anchor' ELSE CAST(CASE WHEN w < 14.142135623730951 THEN 10
     WHEN w < 31.622776601683793 THEN 20 WHEN w < 70.71067811865476 THEN 50 ELSE 100 END AS VARCHAR) || ' m' END AS size_label,
   CASE WHEN area < 100000 THEN 'small' WHEN area < 1000000 THEN 'medium' ELSE 'large' END AS area_band,

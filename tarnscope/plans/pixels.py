@@ -420,4 +420,4 @@ def _(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY n DESC, diff) AS rank FROM n) SELECT * FROM r WHERE rank <= 8""")
 def _(spark, sf):
     c = copies(spark, sf).where("first <> 0 and second <> 0").withColumn("diff", F.col("second") - F.col("first"))
-    return px.top_counts(c, ["tile"], "diff", 8)
+    return px.top_counts(c, ["tile"], "diff", 8).withColumn("rank", F.col("rank").cast("bigint"))

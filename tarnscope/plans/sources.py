@@ -152,7 +152,7 @@ def _(spark, sf):
 
 
 @query("bodies_from_geojson", "A14 A15 A16 B51 B60 E06", """SELECT 'nhd-' || s_suppkey AS site_id, 'pilot' AS "group", s_suppkey % 90 * 1e0 AS west, s_suppkey % 50 * 1e0 AS south,
-  s_suppkey % 90 + 2e0 AS east, s_suppkey % 50 + 1e0 AS north, 5 AS vertices, 2e0 AS area FROM supplier WHERE s_nationkey % 3 <> 1""")
+  s_suppkey % 90 + 2e0 AS east, s_suppkey % 50 + 1e0 AS north, CAST(5 AS BIGINT) AS vertices, 2e0 AS area FROM supplier WHERE s_nationkey % 3 <> 1""")
 def _(spark, sf):
     s = F.col("s_suppkey")
     x, y = s % 90, s % 50
