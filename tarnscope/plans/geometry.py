@@ -99,12 +99,6 @@ def _(spark, sf):
     return counts.withColumn("coverage_area_m2", F.round("coverage_area_m2", 4))
 
 
-TOUCH = BODIES + """, b AS (SELECT *, CAST(floor(l / 10) AS BIGINT) AS c0, greatest(CAST(floor(l / 10) AS BIGINT), CAST(ceil((l + w) / 10) AS BIGINT) - 1) AS c1,
-  CAST(floor(t / 10) AS BIGINT) AS r0, CAST(ceil((t + h) / 10) AS BIGINT) - 1 AS r1 FROM bodies),
-x AS (SELECT *, unnest(range(greatest(r0, 0), least(r1, 159) + 1)) AS "row" FROM b),
-y AS (SELECT *, unnest(range(greatest(c0, 0), least(c1, 159) + 1)) AS col FROM x)"""
-
-
 @query("wet_pixel_windows", "E15 E32 E14", mask_sql(10) + """ SELECT body, min("row") AS row_off, min(col) AS col_off, max("row") - min("row") + 1 AS height,
   max(col) - min(col) + 1 AS width, count(*) AS pixels FROM mask WHERE pixel_class < 3 GROUP BY body""")
 def _(spark, sf):

@@ -52,8 +52,7 @@ PROPERTIES = StructType(
 )
 CATALOG_FEATURE = struct(id=TEXT, collection=TEXT, properties=PROPERTIES, assets=MapType(TEXT, ASSET))
 
-# Rings of a polygon are lists of positions; a MultiPolygon adds one level.
-POSITION = ArrayType(REAL)
+# Coordinates stay JSON text: polygons and multipolygons nest to different depths.
 GEOMETRY = struct(type=TEXT, coordinates=TEXT)
 BODY_PROPERTIES = struct(
     water_body_id=TEXT, name=TEXT, region=TEXT, tier=TEXT, size_class_m=WHOLE, area_m2=REAL, width_m=REAL, why=TEXT
@@ -79,6 +78,3 @@ RASTER_HEADER = struct(
 ARCHIVE_PRODUCT = struct(
     Name=TEXT, OriginDate=TEXT, PublicationDate=TEXT, ModificationDate=TEXT, ContentDate=struct(Start=TEXT)
 )
-MASK_PIXEL = struct(
-    body=TEXT, polygon_version=WHOLE, tile_id=TEXT, resolution_m=WHOLE, row=BIG, col=BIG, pixel_class=WHOLE, coverage=REAL, edge_distance=REAL
-)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnscope.functions import names as nm
-from tarnscope.schemas import CATALOG_FEATURE
+from tarnscope.schemas import ARCHIVE_PRODUCT, CATALOG_FEATURE
 
 # Asset keys of the reflectance bands and quality layers, and the public host.
 REFLECTANCE_KEYS = (
@@ -26,6 +26,15 @@ def read_features(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return spark.read.schema(CATALOG_FEATURE).json(path, multiLine=True)
 
 
+def read_archive_products(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Products of the reference archive with their clocks, from saved record files."""
+    rows = spark.read.schema(ARCHIVE_PRODUCT).json(path, multiLine=True)
+    return rows.select(
+        nm.strip_safe(F.col("Name")).alias("product"), F.col("OriginDate").alias("esa_origin"), F.col("PublicationDate").alias("publication"),
+        F.col("ContentDate.Start").alias("sensing_start"),
+    )
+
+
 def features_from_text(df: DataFrame, column: str, keep: Sequence[str]) -> DataFrame:
     parsed = df.select(*keep, F.from_json(column, CATALOG_FEATURE).alias("_f"))
     return parsed.select(*keep, "_f.*")

@@ -81,3 +81,10 @@ def test_repeated_page_is_refused(spark):
     pages = spark.createDataFrame([("s", "d1", 1), ("s", "d1", 2)], "search string, digest string, page int")
     with pytest.raises(PySparkException):
         cat.pages_once(pages, "search", "digest", "page").collect()
+
+
+def test_archive_records(spark, tmp_path):
+    record = {"Name": "S2A_MSIL2A_x.SAFE", "PublicationDate": "2024-01-02T00:00:00Z", "ContentDate": {"Start": "2024-01-01T00:00:00Z"}}
+    (tmp_path / "p.json").write_text(json.dumps([record]))
+    row = cat.read_archive_products(spark, str(tmp_path / "p.json")).first()
+    assert (row.product, row.esa_origin, row.sensing_start) == ("S2A_MSIL2A_x", None, "2024-01-01T00:00:00Z")
