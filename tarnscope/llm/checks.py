@@ -11,8 +11,11 @@ WITH d AS (SELECT doc_id, {WORDS4.format("text")} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS4.format("text")} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS g
   FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
-dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
-  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+tok AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+win AS (SELECT doc_id, i, count(*) OVER k AS m, string_agg(word, ' ') OVER k AS g FROM tok
+  WINDOW k AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+dw AS (SELECT doc_id, n, i, CASE WHEN n = 13 THEN g ELSE array_to_string(string_split(g, ' ')[1:n], ' ') END AS g
+  FROM win, (SELECT DISTINCT n FROM bw) WHERE m >= n),
 h AS (SELECT doc_id, n, i, item FROM dw JOIN bw USING (n, g)),
 hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY 1),
 hi AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY 1)
@@ -31,4 +34,36 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(upto) FILTER (WHERE role = 'assistant' OR k = n) AS BIGINT) AS formatted_chars
 FROM s GROUP BY conv_id""",
+    "op8_prefix_suffix_trees": """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+tok AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+win AS (SELECT doc_id, i, count(*) OVER k AS m, string_agg(word, ' ') OVER k AS g FROM tok
+  WINDOW k AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+first AS (SELECT g, min(doc_id) AS first FROM win WHERE m = 13 GROUP BY g),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM win JOIN first USING (g) WHERE m = 13 AND first < doc_id),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS words FROM tok ANTI JOIN hit USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
+    "op9_multi_index_near_dedup": """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+tok AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i, len(w) AS n FROM d),
+win AS (SELECT doc_id, i, n, count(*) OVER k AS m, string_agg(word, ' ') OVER k AS g FROM tok
+  WINDOW k AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+s AS (SELECT DISTINCT doc_id, g FROM win WHERE m = 5 OR (n < 5 AND i = 1)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * p.n >= 85 * (x.n + y.n - p.n)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, x.component_id, d.doc_id = x.component_id AS kept
+FROM d LEFT JOIN c USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY 1) x ON x.a = d.doc_id""",
+    "op3_nn_descent": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+k AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0
+  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+s AS (SELECT vec_id, coalesce(n, 0) AS n_links FROM v LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM k GROUP BY 1) USING (vec_id)),
+r AS (WITH RECURSIVE r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, k.b FROM r JOIN k ON k.a = r.b) SELECT a, min(b) AS component_id FROM r GROUP BY 1)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM s JOIN r ON r.a = vec_id""",
 }

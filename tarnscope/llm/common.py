@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnscope.session import scratch_path
 
@@ -32,6 +33,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_fields(df: DataFrame, **kinds: T.DataType) -> T.StructType:
+    """The schema of ``df`` and further columns."""
+    return T.StructType([*df.schema.fields, *(T.StructField(name, kind) for name, kind in kinds.items())])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also where lambda functions in ``body`` use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, every other character as it is."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

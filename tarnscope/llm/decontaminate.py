@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnscope.llm.common import lower_ascii, written
+from tarnscope.llm.common import let, lower_ascii, written
 
 # A word is a run of digits, letters a-z and characters beyond ASCII.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -40,7 +40,8 @@ def fingerprints(hashes: Column, width: int) -> Column:
 def windows_of(words: str, window: int) -> Column:
     """Fingerprint of every window of ``window`` words; empty for shorter texts."""
     k = gram_size(window)
-    return F.when(F.size(words) >= window, fingerprints(grams(F.col(words), k), window - k + 1)).otherwise(F.array().cast("array<bigint>"))
+    prints = let(grams(F.col(words), k), lambda h: fingerprints(h, window - k + 1))
+    return F.when(F.size(words) >= window, prints).otherwise(F.array().cast("array<bigint>"))
 
 
 def window_text(words: Column, start: Column, window: int) -> Column:

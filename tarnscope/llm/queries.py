@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnscope.llm import chat_format, decontaminate, secrets
+from tarnscope.llm import chat_format, decontaminate, language, near_dedup, pieces, secrets
 from tarnscope.llm.checks import SQL
-from tarnscope.llm.common import load
+from tarnscope.llm.common import bucket_of_id, load
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    part = bucket_of_id(F.col("doc_id"), 3)
+    model = language.train_languages(docs.where(part != 1))
+    held = docs.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "text")
+    return language.identify_languages(held, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return found.select(
@@ -29,6 +37,16 @@ def op5_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(chat_format.expand_chats(turns))
 
 
+def op7_aho_corasick_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode_pieces(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    both = pieces.decode_pieces(encoded)
+    return both.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.sha2("decoded", 256).alias("decoded_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
+
+
+def op9_multi_index_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_counts(secrets.scan_secrets(load(spark, sf_dir, "documents").select("doc_id", "text")))
 

@@ -5,9 +5,14 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnscope.llm.common import let
+
 # The patterns of the base scan. The size limits of access keys and hex strings are
 # part of their pattern, since a run that is too short holds no longer one. That of assignments is
 # tested afterwards, because a failing match still takes its characters.
@@ -22,24 +27,31 @@ ALPHABET = "".join(map(chr, range(33, 127)))
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 
 
-def spans_of(text: Column, pattern: str, kind: int, keep: Column | None = None) -> Column:
+def spans_of(text: Column, pattern: str, kind: int, keep: Callable[[Column], Column] | None = None) -> Column:
     """Spans of all matches, in code points. The text between matches gives their places. ``keep``
-    is an array of booleans that says which matches count."""
+    turns the array of matches into one of booleans that says which count."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
     size = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, p: a + F.length(p))
-    span = F.transform(hits, lambda h, i: F.struct(
-        F.lit(kind).alias("kind"), (size(pieces, i + 1) + size(hits, i)).alias("start"), (size(pieces, i + 1) + size(hits, i + 1)).alias("end"),
-    ))
-    if keep is not None:
-        span = F.transform(F.filter(F.arrays_zip(span.alias("span"), keep.alias("keep")), lambda x: x["keep"]), lambda x: x["span"])
-    return F.when(F.size(hits) > 0, span).otherwise(F.array().cast(SPAN)).cast(SPAN)
+
+    def places(x: Column) -> Column:
+        return F.transform(x["hits"], lambda h, i: F.struct(
+            F.lit(kind).alias("kind"), (size(x["pieces"], i + 1) + size(x["hits"], i)).alias("start"), (size(x["pieces"], i + 1) + size(x["hits"], i + 1)).alias("end"),
+        ))
+
+    def found(h: Column) -> Column:
+        span = let(F.struct(h.alias("hits"), F.split(text, pattern, -1).alias("pieces")), places)
+        if keep is not None:
+            pairs = F.arrays_zip(span.alias("span"), keep(h).alias("keep"))
+            span = F.transform(F.filter(pairs, lambda x: x["keep"]), lambda x: x["span"])
+        return F.when(F.size(h) > 0, span).otherwise(F.array().cast(SPAN)).cast(SPAN)
+
+    return let(hits, found)
 
 
 def base_spans(text: Column) -> Column:
-    secrets = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
+    long_enough = lambda hits: F.transform(hits, lambda h: F.length(F.regexp_extract(h, ASSIGN, 2)) >= 6)
     return F.concat(
-        spans_of(text, ASSIGN, 0, F.transform(secrets, lambda s: F.length(s) >= 6)), spans_of(text, ACCESS, 1), spans_of(text, HEX, 2)
+        spans_of(text, ASSIGN, 0, long_enough), spans_of(text, ACCESS, 1), spans_of(text, HEX, 2)
     )
 
 
@@ -85,8 +97,6 @@ def train_markov(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     counts = {True: [[smoothing] * n for _ in range(n)], False: [[smoothing] * n for _ in range(n)]}
     for r in rows:
         counts[r["random"]][ALPHABET.index(r["pair"][0])][ALPHABET.index(r["pair"][1])] += r["count"]
-    from math import log
-
     table = []
     for a in range(n):
         totals = {kind: sum(counts[kind][a]) for kind in counts}
@@ -120,8 +130,7 @@ def scan_secrets(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     table = F.lit(train_markov(labelled_samples(documents.select(text), text, share)))
     whole = F.coalesce(F.col(text), F.lit(""))
     out = documents.withColumn("base", base_spans(whole))
-    runs = F.regexp_extract_all(whole, F.lit(RUN), F.lit(0))
-    odd = F.transform(runs, lambda r: r.rlike("[0-9]") & r.rlike("[A-Za-z]") & (likelihood_ratio(r, table) > threshold))
+    odd = lambda runs: F.transform(runs, lambda r: r.rlike("[0-9]") & r.rlike("[A-Za-z]") & (likelihood_ratio(r, table) > threshold))
     found = F.filter(spans_of(whole, RUN, 3, odd), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return out.withColumn("spans", F.concat("base", found))
 
