@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnscope.llm import chat_format, decontaminate, language, near_dedup, pieces, secrets
+from tarnscope.llm import chat_format, decontaminate, language, near_dedup, neighbours, pieces, secrets, substrings
 from tarnscope.llm.checks import SQL
 from tarnscope.llm.common import bucket_of_id, load
 
@@ -22,6 +22,10 @@ def op1_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(held, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.link_embeddings(load(spark, sf_dir, "embeddings"))
+
+
 def op4_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
     return found.select(
@@ -43,6 +47,11 @@ def op7_aho_corasick_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", F.sha2("decoded", 256).alias("decoded_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("round_trip"))
 
 
+def op8_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.remove_repeats(load(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_multi_index_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
 
