@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnscope.llm import chat_format, decontaminate, language, near_dedup, neighbours, pieces, secrets, substrings
+from tarnscope.llm import chat_format, decontaminate, hidden_markov, language, near_dedup, neighbours, pieces, secrets, substrings
 from tarnscope.llm.checks import SQL
 from tarnscope.llm.common import bucket_of_id, load
 
@@ -41,6 +41,11 @@ def op5_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digests(chat_format.expand_chats(turns))
 
 
+def op6_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return hidden_markov.score_texts(docs, held_out=bucket_of_id(F.col("doc_id"), 10) == 0)
+
+
 def op7_aho_corasick_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = pieces.encode_pieces(load(spark, sf_dir, "documents").select("doc_id", "text"))
     both = pieces.decode_pieces(encoded)
