@@ -65,6 +65,11 @@ def benchmark_windows(items: DataFrame, item_id: str, text: str, window: int = W
     return out.distinct()
 
 
+def row_id(doc_id: str, text: str) -> Column:
+    """Tells rows apart even where an id occurs with several texts, and matches null ids."""
+    return F.struct(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"))
+
+
 def find_contamination(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Words of every document that lie in an occurrence of a benchmark window.
 
@@ -83,7 +88,7 @@ def find_contamination(documents: DataFrame, items: DataFrame, *, doc_id: str =
     sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())
     small = prints.count() <= BROADCAST_FINGERPRINTS
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    docs = docs.withColumn("row_id", F.struct("doc_id", F.xxhash64("text").alias("mark")))
+    docs = docs.withColumn("row_id", row_id("doc_id", "text"))
     tokens = docs.select("doc_id", "row_id", words_of(F.col("text")).alias("words"))
     kinds = [F.struct(F.lit(s).alias("size"), F.array_distinct(windows_of("words", s)).alias("prints")) for s in sizes]
     base = tokens.select("doc_id", "row_id", F.size("words").cast("long").alias("n_words"))

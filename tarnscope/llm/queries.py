@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnscope.llm import chat_format, decontaminate, hidden_markov, language, near_dedup, neighbours, pieces, secrets, substrings
+from tarnscope.llm import chat_format, decontaminate, hidden_markov, html_text, language, near_dedup, neighbours, pieces, secrets, substrings
 from tarnscope.llm.checks import SQL
 from tarnscope.llm.common import bucket_of_id, load
 
@@ -22,6 +22,11 @@ def op1_ftrl_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_languages(held, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_boosted_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.link_embeddings(load(spark, sf_dir, "embeddings"))
 

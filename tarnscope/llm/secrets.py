@@ -112,7 +112,7 @@ def likelihood_ratio(value: Column, table: Column) -> Column:
     return total / (F.length(value) - 1)
 
 
-def scan_secrets(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_documents: int = 20_000, threshold: float = 0.4) -> DataFrame:
+def scan_secrets(documents: DataFrame, *, text: str = "text", sample_documents: int = 20_000, threshold: float = 0.4, base: str = "base", spans: str = "spans") -> DataFrame:
     """Add ``base`` and ``spans`` (arrays of ``kind, start, end`` in code points) to every row.
 
     ``base`` holds the matches of the fixed patterns. ``spans`` adds runs of at least 20 key
@@ -123,16 +123,16 @@ def scan_secrets(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     Null and empty texts have no spans; very long ones are scanned whole. Repeated rows are scanned
     one by one. Matches of one kind do not overlap, those of two kinds may; at one start they stand in
     the order of kinds. Without any sample the models are equal and add nothing. All other columns
-    stay.
+    stay; columns with the names of the results are replaced.
     """
     n = documents.count()
     share = F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_documents / max(n, 1)))
     table = F.lit(train_markov(labelled_samples(documents.select(text), text, share)))
     whole = F.coalesce(F.col(text), F.lit(""))
-    out = documents.withColumn("base", base_spans(whole))
+    out = documents.withColumn(base, base_spans(whole))
     odd = lambda runs: F.transform(runs, lambda r: r.rlike("[0-9]") & r.rlike("[A-Za-z]") & (likelihood_ratio(r, table) > threshold))
-    found = F.filter(spans_of(whole, RUN, 3, odd), lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return out.withColumn("spans", F.concat("base", found))
+    found = F.filter(spans_of(whole, RUN, 3, odd), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return out.withColumn(spans, F.concat(base, found))
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
