@@ -59,10 +59,10 @@ SELECT d.doc_id, coalesce(c.n, 0) AS n_shingles, x.component_id, d.doc_id = x.co
 FROM d LEFT JOIN c USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY 1) x ON x.a = d.doc_id""",
     "op3_nn_descent": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
+u AS MATERIALIZED (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
   WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 k AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0
-  WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95 ELSE FALSE END),
 s AS (SELECT vec_id, coalesce(n, 0) AS n_links FROM v LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM k GROUP BY 1) USING (vec_id)),
 r AS (WITH RECURSIVE r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, k.b FROM r JOIN k ON k.a = r.b) SELECT a, min(b) AS component_id FROM r GROUP BY 1)
 SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM s JOIN r ON r.a = vec_id""",

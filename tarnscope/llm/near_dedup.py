@@ -7,10 +7,10 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnscope.llm.common import chunks, gram_hashes, mix, positions_left, smallest_labels, word_hashes, written
+from tarnscope.llm.common import chunks, gram_hashes, mix, smallest_labels, word_hashes, written
 
 SHINGLE = 5
 # Signatures of 48 values of 8 bits, split into 8 chunks of 6 values. By pigeonhole two signatures
@@ -91,47 +91,80 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"key": pa.array(keys.ravel()), "node": pa.array(np.repeat(nodes, VALUES))})
 
 
-def _own_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts whose shingle set is that of the node; an id can occur with several texts."""
+def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingle sets of nodes, from texts whose set is that of the node; an id can occur with several."""
     for batch in batches:
         texts = [t.translate(_LOWER) for t in text_bytes(batch.column("text"))]
-        own = [m == w for m, w in zip(marks(shingle_sets(texts)), batch.column("mark").to_pylist(), strict=True)]
-        yield pa.record_batch({"node": batch.column("node"), "text": pa.array(texts, pa.binary())}).filter(pa.array(own))
+        for at, end in chunks(texts, 1 << 22):
+            sets = shingle_sets(texts[at:end])
+            own = [m == w for m, w in zip(marks(sets), batch.column("mark").slice(at, end - at).to_pylist(), strict=True)]
+            yield pa.record_batch({"node": batch.column("node").slice(at, end - at), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())}).filter(pa.array(own, pa.bool_()))
 
 
 def _confirm(percent: int):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (batch.column(c).to_pylist() for c in ("text_a", "text_b"))
             keep = []
-            for at, end in chunks(left, 1 << 22):
-                for a, b in zip(shingle_sets(left[at:end]), shingle_sets(right[at:end]), strict=True):
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            for a, b in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+                keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b")}).filter(pa.array(keep, pa.bool_()))
 
     return links
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b`` whose full shingle sets are similar enough."""
-    rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    rows = rows.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long")
+    rows = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a")
+    rows = rows.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+    return rows.select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
+
+
+def star_pairs(open_keys: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Every node of a key with the key's center, where their labels differ. The first center is the
+    node with the smallest part of shingles of its own, later ones are chosen by a hash."""
+    rank = F.when(F.lit(turn > 0), F.lit(0)).otherwise(F.floor(1000 * F.col("alone") / F.col("n")))
+    center = F.struct(rank.alias("rank"), F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("label"), F.col("n"), F.col("alone"))
+    rows = open_keys.alias("own").join(open_keys.groupBy("key").agg(F.min(center).alias("center")), "key")
+    rows = rows.where((F.col("own.label") != F.col("center.label")) & can_link("own", "center", percent))
+    return rows.select(F.least("node", "center.node").alias("a"), F.greatest("node", "center.node").alias("b")).distinct()
 
 
-def star_pairs(open_keys: DataFrame, turn: int) -> DataFrame:
-    """Every node of a key with the key's center, where their labels differ."""
-    center = open_keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("label"))).alias("center"))
-    rows = open_keys.join(center, "key").where(F.col("label") != F.col("center.label"))
-    return rows.select(F.least("node", "center.node").alias("a"), F.greatest("node", "center.node").alias("b")).distinct()
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = batch.column("shingles").to_pylist()
+        nodes = np.repeat(batch.column("node").to_numpy(), [len(s) // 8 for s in sets])
+        yield pa.record_batch({"node": pa.array(nodes), "shingle": pa.array(np.frombuffer(b"".join(sets), np.int64))})
+
+
+def with_own_shingles(shared: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Keys with the number of shingles of each node and of those that no other node with keys has.
+
+    Such shingles are in no intersection, so a node with too many of them can link with nothing.
+    """
+    single = sets.mapInArrow(_shingles, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    alone = single.where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    sizes = sets.select("node").join(nodes.select("node", F.col("n_shingles").alias("n")), "node").join(alone, "node", "left")
+    sizes = sizes.withColumn("alone", F.coalesce("alone", F.lit(0))).where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
+    return shared.join(sizes, "node").select("key", "node", "n", "alone")
+
+
+def can_link(a: str, b: str, percent: int) -> Column:
+    """Whether two nodes are similar enough if they share all shingles but those of their own."""
+    both = F.least(F.col(f"{a}.n") - F.col(f"{a}.alone"), F.col(f"{b}.n") - F.col(f"{b}.alone"))
+    return 100 * both >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n") - both)
 
 
-def all_pairs(open_keys: DataFrame) -> DataFrame:
-    """Pairs of one key whose nodes are not known to be connected."""
+def all_pairs(open_keys: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one key whose nodes are not known to be connected and can be similar enough, each at the
+    first of the keys that they share."""
+    own = open_keys.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    open_keys = written(open_keys.join(own, "node"), "own")
     x, y = open_keys.alias("x"), open_keys.alias("y")
-    rows = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")))
-    return rows.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    new = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
+    first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    return x.join(y, new & can_link("x", "y", percent) & first).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -140,7 +173,8 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     Documents are linked if their 5-word shingle sets have a similarity of at least ``percent`` %.
     Equal sets are one node. Nodes that share a key are compared with the key's center first; nodes
     that this connects need no further comparison, since links reach through the center. What is left
-    of a key, nodes not known to be connected, is compared in full, so no link is lost to a hot key.
+    of a key, nodes not known to be connected, is compared in full, but for pairs that the shingles of
+    one node alone rule out, so no link is lost to a hot key.
 
     Null or empty texts have no shingles and no links. A null id has no component; its row is kept.
     An id that occurs with several texts takes part with each, and its rows share the smallest
@@ -149,35 +183,38 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     """
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = written(docs.mapInArrow(_sign, "doc_id long, n_shingles long, mark binary, signature binary"), "signatures")
-    nodes = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+    nodes = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keys = nodes.select("node", "signature").mapInArrow(_keys, "key long, node long")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     shared = written(keys.join(shared, "key"), "keys")
     wanted = shared.select("node").distinct().join(nodes, "node").select("doc_id", "mark", "node")
-    texts = docs.join(wanted, "doc_id").select("node", "mark", "text").mapInArrow(_own_texts, "node long, text binary")
-    texts = written(texts.dropDuplicates(["node"]), "texts")
-    labels, links, tested = None, None, None
+    sets = docs.join(wanted, "doc_id").select("node", "mark", "text").mapInArrow(_own_sets, "node long, shingles binary")
+    sets = written(sets.dropDuplicates(["node"]), "sets")
+    shared = written(with_own_shingles(shared, sets, nodes, percent), "able")
+    labels, links, tested, idle = None, None, None, False
     for turn in count():
         if labels is None:
             labelled = shared.withColumn("label", F.col("node"))
         else:
-            labelled = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+            labelled = shared.join(labels, "node", "left").select("key", "node", "n", "alone", F.coalesce("label", "node").alias("label"))
             unsettled = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
             labelled = written(labelled.join(unsettled, "key"), "open")
-        last = turn >= STAR_ROUNDS
-        pairs = all_pairs(labelled) if last else star_pairs(labelled, turn)
+        last = turn >= STAR_ROUNDS or idle
+        pairs = all_pairs(labelled, percent) if last else star_pairs(labelled, turn, percent)
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
-        found = written(confirmed(pairs, texts, percent), "links")
+        found = written(confirmed(pairs, sets, percent), "links")
         tested, links = (pairs, found) if tested is None else (tested.union(pairs), links.union(found))
-        labels = smallest_labels(links, "a", "b")
-        if last or not pairs.limit(1).count():
+        idle = labels is not None and not found.limit(1).count()
+        if not idle:
+            labels = smallest_labels(links, "a", "b")
+        if last:
             break
     ids = nodes.select("node", "mark", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     component = ids.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     members = ids.join(component, "label").select("mark", "component_id")
     rows = signed.select("doc_id", "n_shingles", "mark").join(members, "mark", "left")
-    rows = rows.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")))
+    rows = rows.withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")))
     return rows.select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),

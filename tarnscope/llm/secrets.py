@@ -94,6 +94,8 @@ def train_markov(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     seen = samples.where(F.length("value") > 1).select("random", F.explode(pairs).alias("pair"))
     rows = seen.groupBy("random", "pair").count().where(F.col("pair").rlike("^[!-~]{2}$")).collect()
     n = len(ALPHABET)
+    if len({r["random"] for r in rows}) < 2:
+        return [0.0] * n * n
     counts = {True: [[smoothing] * n for _ in range(n)], False: [[smoothing] * n for _ in range(n)]}
     for r in rows:
         counts[r["random"]][ALPHABET.index(r["pair"][0])][ALPHABET.index(r["pair"][1])] += r["count"]
@@ -122,8 +124,8 @@ def scan_secrets(documents: DataFrame, *, text: str = "text", sample_documents:
 
     Null and empty texts have no spans; very long ones are scanned whole. Repeated rows are scanned
     one by one. Matches of one kind do not overlap, those of two kinds may; at one start they stand in
-    the order of kinds. Without any sample the models are equal and add nothing. All other columns
-    stay; columns with the names of the results are replaced.
+    the order of kinds. Without samples of both kinds the models add nothing. All other columns stay;
+    columns with the names of the results are replaced.
     """
     n = documents.count()
     share = F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_documents / max(n, 1)))
