@@ -11,8 +11,10 @@ from tarnscope.llm.common import load, written
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; texts without a letter and doubtful ones go. The model is
-    trained on the labels of the same documents."""
+    trained on the labels of the same documents; without any label nothing is decided and all stay."""
     model = language.train_languages(docs)
+    if model is None:
+        return docs
     told = language.identify_languages(docs.select(F.struct("*").alias("doc"), "text"), model)
     return told.where(language.accepted(F.col("lang_pred"), F.col("score"))).select("doc.*")
 
