@@ -26,7 +26,7 @@ CLASS_NAMES = {1: "interior", 2: "shoreline", 3: "near_land"}
 def hours_between(start: Column, end: Column) -> Column:
     """Signed hours between two times, two decimals, null when either is missing."""
     micros = F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
-    return F.round(micros / F.lit(3.6e9), 2)
+    return rounded(micros / F.lit(3.6e9), 2)
 
 
 def epoch_seconds(text: Column, optional: bool = False) -> Column:
@@ -113,7 +113,7 @@ def rounded(value: Column, digits: int) -> Column:
 
 def share(part: Column, whole: Column, digits: int = 6) -> Column:
     """Rounded ratio, null for a missing part or an empty whole."""
-    return F.round(F.try_divide(part, F.nullif(whole, F.lit(0))), digits)
+    return rounded(F.try_divide(part, F.nullif(whole, F.lit(0))), digits)
 
 
 def ndwi_agrees(green: Column, nir: Column, ndwi: Column) -> tuple[Column, Column]:
@@ -151,7 +151,7 @@ def widening(first: Column, second: Column) -> Column:
 def relative_offset(n: Column, mean_difference: Column, level: Column) -> Column:
     """Mean difference over mean level, null for small or dark cells."""
     return F.when(
-        (n >= MIN_RECORD_PIXELS) & (level > 50), F.round(F.try_divide(mean_difference, level), 4)
+        (n >= MIN_RECORD_PIXELS) & (level > 50), rounded(F.try_divide(mean_difference, level), 4)
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnscope.functions.scalars import rounded
+
 
 def publish(published: DataFrame, arriving: DataFrame, keys: Sequence[str], at: str) -> DataFrame:
     """The rows a publication appends: the earliest arrival of every key not yet published.
@@ -90,5 +92,5 @@ def support_coverage(pixels: DataFrame, tiles: DataFrame, cell: float) -> DataFr
     uncovered = F.count_if(F.col("_n") == 0)
     return per_pixel.groupBy("body").agg(
         F.count(F.lit(1)).alias("support"), uncovered.alias("uncovered"), F.count_if(F.col("_n") > 1).alias("overlap"),
-        F.round(uncovered / F.count(F.lit(1)), 6).alias("uncovered_share"),
+        rounded(uncovered / F.count(F.lit(1)), 6).alias("uncovered_share"),
     )

@@ -169,11 +169,16 @@ def plan_rows(members: DataFrame, keys: Sequence[str], patterns: Sequence[str],
     return rows.select(*keys, "repetition", "pattern", "method", (F.col("_i") * len(methods) + F.col("_j")).alias("position"))
 
 
+def worst_if_unknown(cloud: str) -> Column:
+    """Cloud cover for a ranking, infinite where it is unknown."""
+    return F.coalesce(F.col(cloud).cast("double"), F.lit(float("inf")))
+
+
 def rank_datatakes(items: DataFrame, *, region: str, group: str, identity: Sequence[str], created: str, item: str, cloud: str, sensing: str, uncovered: str) -> DataFrame:
     """Best datatake per region: the latest revision of each observation stands for it, then
     smallest uncovered share, lowest cloud (missing last), latest earliest sensing, smaller id."""
     revision = items.groupBy(region, group, *identity).agg(
-        F.max_by(F.struct(item, cloud, sensing, uncovered), F.struct(F.col(created), -F.col(item))).alias("r"),
+        F.min_by(F.struct(item, cloud, sensing, uncovered), F.struct(-F.unix_micros(F.col(created).cast("timestamp")), F.col(item))).alias("r"),
         (F.count(F.lit(1)) - 1).alias("discarded"),
     )
     scored = revision.groupBy(region, group).agg(
@@ -184,7 +189,7 @@ def rank_datatakes(items: DataFrame, *, region: str, group: str, identity: Seque
         F.sum("discarded").alias("discarded"),
     )
     late = -F.unix_micros(F.col("earliest").cast("timestamp"))
-    order = F.struct(F.col("uncovered"), F.coalesce(F.col("cloud").cast("double"), F.lit(float("inf"))), late, F.col(group))
+    order = F.struct(F.col("uncovered"), worst_if_unknown("cloud"), late, F.col(group))
     best = scored.groupBy(region).agg(F.min_by(F.struct(group, "uncovered", "cloud", "items", "discarded"), order).alias("b"))
     return best.select(region, "b.*")
 

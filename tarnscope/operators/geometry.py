@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnscope.functions.scalars import rounded
+
 EARTH_RADIUS_M = 6_371_008.8
 RESOLUTIONS = (10, 20, 60)
 # WGS84 ellipsoid and the UTM scale factor.
@@ -224,7 +226,7 @@ def tile_shares(rings: DataFrame, tiles: DataFrame, cell: float, buffer: float =
     edges = boundary_edges(pairs.join(rings, "body"), ["body", "area", *keep])
     term = rectangle_share_terms(*(F.col(f"t_{c}") for c in ("west", "south", "east", "north")))
     inside = edges.groupBy("body", "area", "tile", *extra).agg(F.abs(F.sum(term * F.col("turn"))).alias("inside"))
-    share = F.when(F.col("area") > 0, F.round(F.col("inside") / F.col("area"), 6)).otherwise(F.lit(0.0))
+    share = F.when(F.col("area") > 0, rounded(F.col("inside") / F.col("area"), 6)).otherwise(F.lit(0.0))
     return inside.select("body", "tile", *extra, share.alias("in_tile"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnscope.functions.scalars import hours_between
+from tarnscope.functions.scalars import hours_between, rounded
 from tarnscope.operators.quantiles import nearest_rank
 
 # Percentiles reported and the arrival thresholds in hours.
@@ -46,14 +46,14 @@ def latency_stats(rows: DataFrame, groups: Sequence[str], hours: str, days: bool
     stats = nearest_rank(rows, groups, hours, FRACTIONS, bucket)
     scale = 24.0 if days else 1.0
     return stats.select(
-        *groups, "n", *[F.round(F.col(c) / scale, 2).alias(c) for c in (*FRACTIONS, "min", "max")]
+        *groups, "n", *[rounded(F.col(c) / scale, 2).alias(c) for c in (*FRACTIONS, "min", "max")]
     )
 
 
 def within(hours: DataFrame, groups: Sequence[str], value: str, denominator: Column) -> DataFrame:
     """Share of a fixed denominator at or under each threshold."""
     share = [
-        F.round(F.try_divide(F.count_if(F.col(value) <= h), F.nullif(denominator, F.lit(0))), 4).alias(f"within_{h}h")
+        rounded(F.try_divide(F.count_if(F.col(value) <= h), F.nullif(denominator, F.lit(0))), 4).alias(f"within_{h}h")
         for h in WITHIN_HOURS
     ]
     return hours.groupBy(*groups).agg(*share)

@@ -63,13 +63,15 @@ def _(spark, sf):
     return out.drop("available_at")
 
 
-SPINE = """WITH days AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-30', INTERVAL 1 DAY))::DATE AS VARCHAR) AS day), users AS (SELECT DISTINCT user_id FROM events),
+SPINE = """WITH days AS (SELECT CAST(unnest(generate_series((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE FROM events), INTERVAL 1 DAY))::DATE AS VARCHAR) AS day), users AS (SELECT DISTINCT user_id FROM events),
 want AS (SELECT user_id, day FROM users, days), have AS (SELECT DISTINCT user_id, CAST(ts::DATE AS VARCHAR) AS day FROM events WHERE event_type = 'purchase')"""
 
 
 def day_spine(spark, sf):
-    users = load(spark, sf, "events").select("user_id").distinct()
-    days = F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))
+    events = load(spark, sf, "events")
+    bounds = events.select(F.struct(F.to_date(F.min("ts")).alias("low"), F.to_date(F.max("ts")).alias("high"))).scalar()
+    users = events.select("user_id").distinct().withColumn("period", bounds)
+    days = F.sequence(F.col("period.low"), F.col("period.high"))
     return users.select("user_id", F.explode(days).alias("d")).select("user_id", F.date_format("d", "yyyy-MM-dd").alias("day"))
 
 
@@ -104,12 +106,15 @@ def _(spark, sf):
     return e.groupBy(F.coalesce(reason, F.lit("value")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 4).alias("reflectance_sum"))
 
 
-@query("replay_windows", "T12", """SELECT d.days, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events, (VALUES (1), (7), (30)) d(days)
-WHERE ts > TIMESTAMP '2024-01-31' - to_days(d.days) GROUP BY ALL""")
+@query("replay_windows", "T12", """SELECT d.days, event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events, (VALUES (1), (30), (365)) d(days)
+WHERE ts > (SELECT max(ts) FROM events) - to_days(d.days) GROUP BY ALL""")
 def _(spark, sf):
-    e = load(spark, sf, "events").withColumn("days", F.explode(F.array(F.lit(1), F.lit(7), F.lit(30))))
-    inside = F.col("ts") > F.expr("timestamp_ntz'2024-01-31' - make_dt_interval(days)")
-    return e.where(inside).groupBy("days", "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+    events = load(spark, sf, "events")
+    e = events.withColumn("end", events.select(F.max("ts")).scalar())
+    since = lambda d: F.col("ts") > F.col("end") - F.make_dt_interval(d)
+    windows = F.filter(F.array(F.lit(1), F.lit(30), F.lit(365)), since)
+    e = e.where(since(F.lit(365))).withColumn("days", F.explode(windows))
+    return e.groupBy("days", "event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
 
 
 # ------------------------------------------------------------------ streams

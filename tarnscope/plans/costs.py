@@ -69,17 +69,21 @@ def _(spark, sf):
 
 
 @query("acquisition_rates", "K08 K09 K10 K22 F78 F79", """WITH m AS (SELECT o_custkey % 25 AS tile, strftime(o_orderdate, '%Y-%m') AS month, count(DISTINCT o_orderdate) AS n FROM orders GROUP BY ALL),
-y AS (SELECT tile, CAST(sum(n) AS BIGINT) AS epochs, CAST(sum(n) FILTER (month >= '2000-07') AS BIGINT) AS recent, max(n) AS peak, round(max(n) / avg(n), 6) AS peak_ratio FROM m GROUP BY tile)
-SELECT *, round((epochs + 30 * recent / 365.25e0) / 2403 * 365.25e0, 6) AS annual_rate FROM y""")
+y AS (SELECT tile, CAST(sum(n) AS BIGINT) AS epochs, CAST(sum(n) FILTER (month >= (SELECT strftime(max(o_orderdate) - INTERVAL 12 MONTH, '%Y-%m') FROM orders)) AS BIGINT) AS recent, max(n) AS peak, round(max(n) / avg(n), 6) AS peak_ratio FROM m GROUP BY tile)
+SELECT *, round((epochs + 30 * recent / 365.25e0) / (SELECT datediff('day', min(o_orderdate), max(o_orderdate)) + 1 FROM orders) * 365.25e0, 6) AS annual_rate FROM y""")
 def _(spark, sf):
     m = load(spark, sf, "orders").select((F.col("o_custkey") % 25).alias("tile"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderdate").distinct()
     m = m.groupBy("tile", "month").agg(F.count(F.lit(1)).alias("n"))
+    bounds = load(spark, sf, "orders").select(F.struct(F.min("o_orderdate").alias("low"), F.max("o_orderdate").alias("high"))).scalar()
+    m = m.withColumn("period", bounds)
+    recent = F.col("month") >= F.date_format(F.add_months("period.high", -12), "yyyy-MM")
+    days = F.date_diff(F.max("period.high"), F.max("period.low")) + 1
     y = m.groupBy("tile").agg(
-        F.sum("n").alias("epochs"), F.sum(F.when(F.col("month") >= "2000-07", F.col("n"))).alias("recent"), F.max("n").alias("peak"),
+        F.sum("n").alias("epochs"), F.sum(F.when(recent, F.col("n"))).alias("recent"), F.max("n").alias("peak"), days.alias("days"),
         F.round(F.max("n") / F.avg("n"), 6).alias("peak_ratio"),
     )
-    rate = co.acquisition_rate(F.col("epochs"), F.lit(30), F.col("recent"), F.lit(2403))
-    return y.withColumn("annual_rate", F.round(rate, 6))
+    rate = co.acquisition_rate(F.col("epochs"), F.lit(30), F.col("recent"), F.col("days"))
+    return y.withColumn("annual_rate", F.round(rate, 6)).drop("days")
 
 
 def scenarios(spark, sf):

@@ -41,15 +41,15 @@ def _(spark, sf):
 
 @query("greedy_acquisition_cover", "W12 W25", rounds_sql(
     """WITH pairs AS (SELECT o_custkey % 25 AS region, o_orderpriority AS datatake, o_custkey AS lake, o_orderkey % 5 AS uncovered,
-  CAST(floor(o_totalprice) AS BIGINT) % 101 AS cloud, epoch(o_orderdate) AS sensed FROM orders)""",
+  CASE WHEN o_orderkey % 997 = 5 THEN CAST('inf' AS DOUBLE) ELSE CAST(floor(o_totalprice) AS BIGINT) % 101 END AS cloud, epoch(o_orderdate) AS sensed FROM orders)""",
     "region", "datatake", "lake", "max(uncovered) AS uncovered, max(cloud) AS cloud, CAST(min(sensed) AS BIGINT) AS sensed", "uncovered, cloud, sensed DESC", 5,
     "region, datatake, n, uncovered, cloud, sensed, round"))
 def _(spark, sf):
     o = load(spark, sf, "orders").select(
         (F.col("o_custkey") % 25).alias("region"), F.col("o_orderpriority").alias("datatake"), F.col("o_custkey").alias("lake"),
-        (F.col("o_orderkey") % 5).alias("uncovered"), (F.floor("o_totalprice") % 101).alias("cloud"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("sensed"),
+        (F.col("o_orderkey") % 5).alias("uncovered"), F.when(F.col("o_orderkey") % 997 != 5, F.floor("o_totalprice") % 101).alias("cloud"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("sensed"),
     )
-    merges = {"uncovered": F.max("uncovered"), "cloud": F.max("cloud"), "sensed": F.min("sensed")}
+    merges = {"uncovered": F.max("uncovered"), "cloud": F.max(cv.worst_if_unknown("cloud")), "sensed": F.min("sensed")}
     return cv.greedy_cover(
         o, "region", "datatake", "lake", merges, {"uncovered": "max", "cloud": "max", "sensed": "min"}, [F.col("uncovered"), F.col("cloud"), -F.col("sensed")]
     )
@@ -102,13 +102,13 @@ def _(spark, sf):
     return cv.connected_groups(edges, "node", "link")
 
 
-@query("band_quotas", "W14", """WITH a AS (SELECT c_mktsegment AS band, least(count(*), 40 + 10 * length(c_mktsegment)) AS n FROM customer GROUP BY c_mktsegment),
-l AS (SELECT band, unnest(generate_series(1, n)) AS k FROM a), f AS (SELECT * FROM l ORDER BY k, band LIMIT 500)
+@query("band_quotas", "W14", """WITH a AS (SELECT 'balance ' || CAST(floor(c_acctbal / 2500) AS BIGINT) AS band, count(*) AS n FROM customer GROUP BY ALL),
+l AS (SELECT band, unnest(generate_series(1, n)) AS k FROM a), f AS (SELECT * FROM l ORDER BY k, band LIMIT 1200)
 SELECT band, count(*) AS quota FROM f GROUP BY band""")
 def _(spark, sf):
-    a = load(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("band")).agg(F.count(F.lit(1)).alias("n"))
-    a = a.withColumn("n", F.least(F.col("n"), 40 + 10 * F.length("band")))
-    return cv.quotas(a.withColumn("position", F.col("band")), "band", "n", "position", 500)
+    band = F.concat(F.lit("balance "), F.floor(F.col("c_acctbal") / 2500).cast("string"))
+    a = load(spark, sf, "customer").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    return cv.quotas(a.withColumn("position", F.col("band")), "band", "n", "position", 1200)
 
 
 @query("nearest_width_by_class", "W15 W22", """WITH p AS (SELECT p_brand AS region, p_partkey AS source_id, p_size AS width, unnest([10, 20, 50]) AS size_class FROM part),
@@ -128,7 +128,7 @@ def _(spark, sf):
     return out.withColumn("position", F.col("position").cast("bigint"))
 
 
-@query("ranked_datatakes", "W07 U02", """WITH i AS (SELECT o_custkey % 25 AS region, o_custkey AS grp, strftime(o_orderdate, '%Y-%m') AS strip, o_orderdate AS created, o_orderkey AS item,
+@query("ranked_datatakes", "W07 U02", """WITH i AS (SELECT o_custkey % 25 AS region, o_custkey AS grp, strftime(o_orderdate, '%Y-%m') AS strip, o_orderdate AS created, 'item-' || o_orderkey AS item,
   CASE WHEN o_orderkey % 9 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) % 101 END AS cloud, o_orderdate AS sensing, o_orderkey % 4 AS uncovered FROM orders),
 r AS (SELECT *, row_number() OVER (PARTITION BY region, grp, strip ORDER BY created DESC, item) AS rn, count(*) OVER (PARTITION BY region, grp, strip) - 1 AS d FROM i),
 s AS (SELECT region, grp, max(uncovered) AS uncovered, CASE WHEN count(*) FILTER (cloud IS NULL) = 0 THEN max(cloud) END AS cloud, min(sensing) AS earliest,
@@ -138,7 +138,7 @@ SELECT region, grp AS datatake, uncovered, cloud, items, discarded FROM b WHERE
 def _(spark, sf):
     o = load(spark, sf, "orders").select(
         (F.col("o_custkey") % 25).alias("region"), F.col("o_custkey").alias("datatake"), F.date_format("o_orderdate", "yyyy-MM").alias("strip"),
-        F.col("o_orderdate").alias("created"), F.col("o_orderkey").alias("item"),
+        F.col("o_orderdate").alias("created"), F.concat(F.lit("item-"), "o_orderkey").alias("item"),
         F.when(F.col("o_orderkey") % 9 != 0, F.floor("o_totalprice") % 101).alias("cloud"), F.col("o_orderdate").alias("sensing"), (F.col("o_orderkey") % 4).alias("uncovered"),
     )
     return cv.rank_datatakes(
@@ -154,11 +154,11 @@ def _(spark, sf):
     ).agg(F.min(F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("item"), F.count(F.lit(1)).alias("seen"))
 
 
-@query("hashed_candidates", "C03 A28 B41", """SELECT CAST(l_partkey AS VARCHAR) AS id, min(sha256('20260916:' || l_partkey)) AS rank FROM lineitem WHERE l_quantity * 10000 >= 20000 AND l_linenumber IN (1, 2, 3) GROUP BY ALL""")
+@query("hashed_candidates", "C03 A28 B41", """SELECT CAST(l_partkey AS VARCHAR) AS id, min(sha256('20260916:' || l_partkey)) AS rank FROM lineitem WHERE l_quantity * 10000 >= 20000 GROUP BY ALL""")
 def _(spark, sf):
     from tarnscope.operators.selection import hashed_candidates
 
-    li = load(spark, sf, "lineitem").where((F.col("l_quantity") * 10000 >= 20000) & F.col("l_linenumber").isin(1, 2, 3))
+    li = load(spark, sf, "lineitem").where(F.col("l_quantity") * 10000 >= 20000)
     ids = li.select(F.col("l_partkey").cast("string").alias("id"))
     return hashed_candidates(ids, source_id="id", rank=stable_key(F.col("id"), "20260916"))
 
@@ -197,13 +197,14 @@ def _(spark, sf):
     return frozen.join(again, "lake").withColumn("unchanged", F.col("plan_digest") == F.col("_now")).drop("_now")
 
 
-@query("dropped_bodies", "W27 D34 D35 D36", """WITH c AS (SELECT DISTINCT l_suppkey AS body FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1 AND l_quantity > 30),
-p AS (SELECT DISTINCT l_suppkey AS body FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 1 AND l_quantity > 45)
-SELECT s_suppkey AS body, CASE WHEN c.body IS NULL THEN 'no candidate' WHEN p.body IS NULL THEN 'no complete product' ELSE 'kept' END AS reason
-FROM supplier LEFT JOIN c ON s_suppkey = c.body LEFT JOIN p ON s_suppkey = p.body""")
+@query("dropped_bodies", "W27 D34 D35 D36", """WITH f AS (SELECT l_suppkey AS body, count(*) AS candidates, count(*) FILTER (l_returnflag = 'R') AS complete, max(l_partkey) AS top FROM lineitem GROUP BY ALL),
+c AS (SELECT body FROM f WHERE body % 7 <> 0), p AS (SELECT body FROM f WHERE body % 7 <> 0 AND top % 3 <> 0)
+SELECT s_suppkey AS body, coalesce(f.candidates, 0) AS candidates, coalesce(f.complete, 0) AS complete, CASE WHEN c.body IS NULL THEN 'no candidate' WHEN p.body IS NULL THEN 'no complete product' ELSE 'kept' END AS reason
+FROM supplier LEFT JOIN f ON s_suppkey = f.body LEFT JOIN c ON s_suppkey = c.body LEFT JOIN p ON s_suppkey = p.body""")
 def _(spark, sf):
-    li = load(spark, sf, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1))
-    found = li.groupBy(F.col("l_suppkey").alias("body")).agg(F.max("l_quantity").alias("top"))
+    found = load(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("body")).agg(
+        F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("l_returnflag") == "R").alias("complete"), F.max("l_partkey").alias("top")
+    )
     s = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("body")).join(found, "body", "left")
-    reason = F.when(F.coalesce(F.col("top"), F.lit(0)) <= 30, "no candidate").when(F.col("top") <= 45, "no complete product").otherwise("kept")
-    return s.select("body", reason.alias("reason"))
+    reason = F.when(F.col("top").isNull() | (F.col("body") % 7 == 0), "no candidate").when(F.col("top") % 3 == 0, "no complete product").otherwise("kept")
+    return s.select("body", F.coalesce("candidates", F.lit(0)).alias("candidates"), F.coalesce("complete", F.lit(0)).alias("complete"), reason.alias("reason"))

@@ -203,7 +203,7 @@ def lakes(spark, sf):
 
 LAKES = """WITH lakes AS (SELECT c_custkey AS body, c_custkey * 37 % 5200 AS l, c_custkey * 91 % 5200 AS b, 20 + c_custkey % 100 AS w, 30 + c_custkey % 80 AS h FROM customer),
 tiles AS (SELECT CAST(n_nationkey AS BIGINT) AS tile, CAST(n_nationkey AS BIGINT) % 5 * 1000 AS x, CAST(n_nationkey AS BIGINT) // 5 * 1000 AS y, CAST(n_nationkey AS BIGINT) % 2 AS zone FROM nation),
-shares AS (SELECT body, tile, zone, round(greatest(least(l + w, x + 1098) - greatest(l, x), 0) * greatest(least(b + h, y + 1098) - greatest(b, y), 0) / CAST(w * h AS DOUBLE), 6) AS in_tile
+shares AS (SELECT body, tile, zone, round_even(greatest(least(l + w, x + 1098) - greatest(l, x), 0) * greatest(least(b + h, y + 1098) - greatest(b, y), 0) / CAST(w * h AS DOUBLE), 6) AS in_tile
   FROM lakes, tiles WHERE l - 100 < x + 1098 AND l + w + 100 > x AND b - 100 < y + 1098 AND b + h + 100 > y)"""
 
 
@@ -246,7 +246,7 @@ hit AS (SELECT body, px, py, count(tile) AS n FROM pp LEFT JOIN tiles ON px >= x
 
 
 @query("support_coverage", "E24 E23", SUPPORT + """ SELECT body, count(*) AS support, count(*) FILTER (n = 0) AS uncovered, count(*) FILTER (n > 1) AS overlap,
-  round(count(*) FILTER (n = 0) / CAST(count(*) AS DOUBLE), 6) AS uncovered_share FROM hit GROUP BY body""")
+  round_even(count(*) FILTER (n = 0) / CAST(count(*) AS DOUBLE), 6) AS uncovered_share FROM hit GROUP BY body""")
 def _(spark, sf):
     from tarnscope.operators.contract import support_coverage
 

@@ -113,7 +113,7 @@ def _(spark, sf):
 
 
 @query("dates_and_windows", "B18 B19 B20 B22 B23 B24 B25 B39 B55", f"""WITH {PRODUCTS}
-SELECT k, CAST(k % 97 AS DOUBLE) AS hours, CASE WHEN k % 6 <> 0 THEN CAST(k % 97 AS DOUBLE) END AS hours_or_none,
+SELECT k, CAST(k % 97 AS DOUBLE) AS hours, CASE WHEN k % 6 <> 0 THEN CAST(k % 97 AS DOUBLE) END AS hours_or_none, round_even(k % 40 * 450 / 3600e0, 2) AS hours_at_ties,
   epoch(sensing_ts) AS epoch_seconds,
   strftime(sensing_ts, '%Y-%m-01') AS month_first,
   strftime(last_day(CAST(sensing_ts AS DATE)), '%Y-%m-%d') AS month_last,
@@ -131,6 +131,7 @@ def _(spark, sf):
         "k",
         sc.hours_between(F.col("sensing_ts"), F.col("generation_ts")).alias("hours"),
         sc.hours_between(F.col("sensing_ts"), F.when(F.col("k") % 6 != 0, F.col("generation_ts"))).alias("hours_or_none"),
+        sc.hours_between(F.col("sensing_ts"), F.col("sensing_ts") + F.make_dt_interval(secs=F.col("k") % 40 * 450)).alias("hours_at_ties"),
         sc.epoch_seconds(zoned, optional=True).alias("epoch_seconds"),
         F.date_format(first, "yyyy-MM-dd").alias("month_first"),
         F.date_format(last, "yyyy-MM-dd").alias("month_last"),
@@ -258,12 +259,12 @@ def _(spark, sf):
     l_partkey % 3000 AS g, l_orderkey % 2500 AS r, l_orderkey % 5 AS q, l_partkey % 400 AS cnt, l_orderkey % 90 AS dis
   FROM lineitem)
 SELECT a, b, s, n,
-  round(q / CASE WHEN n = 4 THEN NULL ELSE CAST(n AS DOUBLE) END, 6) AS share,
+  round_even(q / CASE WHEN n = 4 THEN NULL ELSE CAST(n AS DOUBLE) END, 6) AS share,
   (g + r - 1 > 0) AS comparable,
   CASE WHEN cnt < 100 THEN 'too_few' WHEN 1 - dis / CAST(cnt AS DOUBLE) >= 9e-1 THEN 'agree' ELSE 'differs' END AS verdict,
   CASE WHEN s % 10 = 0 THEN NULL WHEN dis / 1e2 - q / 1e1 > 5e-2 THEN 'widens'
     WHEN q / 1e1 - dis / 1e2 > 5e-2 THEN 'narrows' ELSE 'similar' END AS widening,
-  CASE WHEN cnt >= 100 AND r > 50 THEN round((g - r) / CAST(r AS DOUBLE), 4) END AS relative_offset,
+  CASE WHEN cnt >= 100 AND r > 50 THEN round_even((g - r) / CAST(r AS DOUBLE), 4) END AS relative_offset,
   CASE WHEN n % 3 = 0 THEN 'xyz' WHEN n % 3 = 1 THEN 'yzx' ELSE 'zxy' END AS rotated,
   CASE WHEN b % 2 = 0 THEN 32600 ELSE 32700 END + least(60, CAST(floor(((a % 360 - 180) + 180) / 6) AS BIGINT) + 1) AS epsg,
   CASE WHEN g <> 0 THEN round(g * 1e-4 - 1e-1, 6) END AS reflectance,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnscope.functions import names as nm
+from tarnscope.functions import scalars as sc
 from tarnscope.operators import latency as lat
 from tarnscope.operators import pairing as pr
 from tarnscope.plans.derived import PRODUCTS, products
@@ -16,8 +17,8 @@ def scenes_and_items(spark, sf):
         F.col("o_orderkey").alias("product"), F.col("o_orderkey").alias("pass_id"),
         F.expr("substr('ANR', cast(o_orderkey % 3 as int) + 1, 1)").alias("baseline"),
     )
-    i = load(spark, sf, "lineitem").where(F.col("l_orderkey") % 5 != 0).select(
-        F.col("l_orderkey").alias("pass_id"),
+    i = load(spark, sf, "lineitem").select(
+        F.when(F.col("l_orderkey") % 5 == 0, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("pass_id"),
         F.when(F.col("l_linestatus") == "O", 0).otherwise(1).alias("rank"),
         F.col("l_returnflag").alias("baseline"),
         (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("item"),
@@ -26,8 +27,8 @@ def scenes_and_items(spark, sf):
 
 
 RANKED = """WITH s AS (SELECT o_orderkey AS product, substr('ANR', CAST(o_orderkey % 3 AS INT) + 1, 1) AS baseline FROM orders),
-i AS (SELECT l_orderkey AS product, CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END AS rank, l_returnflag AS baseline,
-  l_partkey * 10 + l_linenumber AS item FROM lineitem WHERE l_orderkey % 5 <> 0),
+i AS (SELECT CASE WHEN l_orderkey % 5 = 0 THEN -l_orderkey ELSE l_orderkey END AS product, CASE WHEN l_linestatus = 'O' THEN 0 ELSE 1 END AS rank, l_returnflag AS baseline,
+  l_partkey * 10 + l_linenumber AS item FROM lineitem),
 h AS (SELECT s.product, i.rank, i.item, s.baseline = i.baseline AS same,
   min(i.rank) OVER (PARTITION BY s.product) AS best FROM s LEFT JOIN i USING (product)),
 m AS (SELECT product, max(best) AS collection_rank, count(item) AS hits, count(item) FILTER (same) AS same_n,
@@ -64,7 +65,7 @@ def two_hop(spark, sf):
         nm.l1c_name(F.col("product")).alias("l1c"), F.explode(F.array_compact(F.array(F.col("sensing"), later))).alias("strip")
     )
     strips = pr.datastrips_by_name(declared, name="l1c", strip="strip")
-    li = load(spark, sf, "lineitem").where("l_linenumber % 2 = 1").select(
+    li = load(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("k"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("created"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("c1"),
@@ -79,7 +80,7 @@ def two_hop(spark, sf):
 TWO_HOP = f"""WITH {PRODUCTS}, l AS (
   SELECT l_orderkey AS k, strftime(l_shipdate, '%Y-%m-%d') AS created,
     l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS c1
-  FROM lineitem WHERE l_linenumber % 2 = 1),
+  FROM lineitem),
 c1 AS (SELECT p.tile, p.platform, p.sensing AS strip, l.created, l.c1 FROM l JOIN products p USING (k)),
 latest AS (SELECT tile, platform, strip, arg_max(c1, (created, c1)) AS item, count(*) AS candidates FROM c1 GROUP BY ALL),
 hop AS (SELECT k, product, tile, platform, generation,
@@ -243,9 +244,9 @@ hours AS (SELECT *, CASE WHEN publication IS NOT NULL THEN date_diff('second', s
 rows AS (SELECT k, tile, month, 'publication' AS clock, publication_hours AS hours FROM hours WHERE publication_hours IS NOT NULL
   UNION ALL SELECT k, tile, month, 'bucket_first', bucket_first_hours FROM hours WHERE bucket_first_hours IS NOT NULL
   UNION ALL SELECT k, tile, month, 'bucket_last', bucket_last_hours FROM hours WHERE bucket_last_hours IS NOT NULL)"""
-STATS = """count(*) AS n, round(quantile_disc(hours, 0.1) / 24, 2) AS p10, round(quantile_disc(hours, 0.5) / 24, 2) AS median,
-  round(quantile_disc(hours, 0.9) / 24, 2) AS p90, round(quantile_disc(hours, 0.99) / 24, 2) AS p99,
-  round(min(hours) / 24, 2) AS min, round(max(hours) / 24, 2) AS max"""
+STATS = """count(*) AS n, round_even(quantile_disc(hours, 0.1) / 24, 2) AS p10, round_even(quantile_disc(hours, 0.5) / 24, 2) AS median,
+  round_even(quantile_disc(hours, 0.9) / 24, 2) AS p90, round_even(quantile_disc(hours, 0.99) / 24, 2) AS p99,
+  round_even(min(hours) / 24, 2) AS min, round_even(max(hours) / 24, 2) AS max"""
 
 
 def items_with_clocks(spark, sf):
@@ -297,21 +298,21 @@ def _(spark, sf):
 
 
 @query("share_within_hours", "F17", LATENCY + """, first AS (SELECT tile, k, min(bucket_first_hours) AS h FROM hours WHERE publication IS NOT NULL GROUP BY ALL)
-SELECT tile, count(*) AS products, round(count(*) FILTER (h <= 6) / CAST(count(*) AS DOUBLE), 4) AS within_6h, round(count(*) FILTER (h <= 12) / CAST(count(*) AS DOUBLE), 4) AS within_12h,
-  round(count(*) FILTER (h <= 24) / CAST(count(*) AS DOUBLE), 4) AS within_24h, round(count(*) FILTER (h <= 72) / CAST(count(*) AS DOUBLE), 4) AS within_72h FROM first GROUP BY tile""")
+SELECT tile, count(*) AS products, round_even(count(*) FILTER (h <= 6) / CAST(count(*) AS DOUBLE), 4) AS within_6h, round_even(count(*) FILTER (h <= 12) / CAST(count(*) AS DOUBLE), 4) AS within_12h,
+  round_even(count(*) FILTER (h <= 24) / CAST(count(*) AS DOUBLE), 4) AS within_24h, round_even(count(*) FILTER (h <= 72) / CAST(count(*) AS DOUBLE), 4) AS within_72h FROM first GROUP BY tile""")
 def _(spark, sf):
     first = items_with_clocks(spark, sf).where("publication is not null").groupBy("tile", "k").agg(F.min("bucket_first_hours").alias("h"))
     shares = lat.within(first, ["tile"], "h", F.count(F.lit(1)))
     return shares.join(first.groupBy("tile").agg(F.count(F.lit(1)).alias("products")), "tile")
 
 
-@query("slowest_items", "F18", LATENCY + """ SELECT k, round(bucket_first_hours / 24, 2) AS bucket_first_days, round(publication_hours / 24, 2) AS publication_days
+@query("slowest_items", "F18", LATENCY + """ SELECT k, round_even(bucket_first_hours / 24, 2) AS bucket_first_days, round_even(publication_hours / 24, 2) AS publication_days
 FROM hours WHERE bucket_first_hours IS NOT NULL ORDER BY bucket_first_hours DESC, k LIMIT 15""")
 def _(spark, sf):
     h = items_with_clocks(spark, sf).where("bucket_first_hours is not null")
     top = h.orderBy(F.desc("bucket_first_hours"), "k").limit(lat.SLOWEST)
     return top.select(
-        "k", F.round(F.col("bucket_first_hours") / 24, 2).alias("bucket_first_days"), F.round(F.col("publication_hours") / 24, 2).alias("publication_days")
+        "k", sc.rounded(F.col("bucket_first_hours") / 24, 2).alias("bucket_first_days"), sc.rounded(F.col("publication_hours") / 24, 2).alias("publication_days")
     )
 
 

@@ -110,7 +110,7 @@ def _(spark, sf):
 
 @query("validity_pooled", "F23 F38 F40 X12 U01", BAND_COUNTS + """ SELECT CASE WHEN grouping(scene) = 1 THEN 'all' ELSE 'scene' END AS kind,
   coalesce(scene, 'all') AS "group", pixel_class, band, CAST(sum(no_data) AS BIGINT) AS no_data, CAST(sum(processor_masked) AS BIGINT) AS processor_masked,
-  round(sum(processor_masked) / CAST(nullif(sum(joined_pixels), 0) AS DOUBLE), 6) AS masked_share
+  round_even(sum(processor_masked) / CAST(nullif(sum(joined_pixels), 0) AS DOUBLE), 6) AS masked_share
 FROM bands GROUP BY GROUPING SETS ((pixel_class, band), (scene, pixel_class, band))""")
 def _(spark, sf):
     share = sc.share(F.sum("processor_masked"), F.sum("joined_pixels"))
@@ -121,8 +121,8 @@ def _(spark, sf):
 
 
 @query("class_verdicts", "F24", BAND_COUNTS + """, p AS (SELECT pixel_class, band, sum(processor_masked) AS m, sum(joined_pixels) AS j FROM bands GROUP BY ALL)
-SELECT pixel_class, CAST(max(j) AS BIGINT) AS joined_pixels, max(round(m / CAST(nullif(j, 0) AS DOUBLE), 6)) AS largest_share,
-  max(round(m / CAST(nullif(j, 0) AS DOUBLE), 6)) > 1e-2 AS masked_by_processor FROM p GROUP BY ALL""")
+SELECT pixel_class, CAST(max(j) AS BIGINT) AS joined_pixels, max(round_even(m / CAST(nullif(j, 0) AS DOUBLE), 6)) AS largest_share,
+  max(round_even(m / CAST(nullif(j, 0) AS DOUBLE), 6)) > 1e-2 AS masked_by_processor FROM p GROUP BY ALL""")
 def _(spark, sf):
     return px.class_verdicts(bands(spark, sf), "pixel_class")
 

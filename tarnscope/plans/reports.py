@@ -99,9 +99,9 @@ def _(spark, sf):
 
 
 @query("issue_placements", "F94", """SELECT o_orderkey AS issue, count(l_orderkey) AS placements, CASE WHEN count(l_orderkey) = 0 THEN 'not placed' WHEN count(l_orderkey) > 1 THEN 'placed twice' ELSE 'ok' END AS state
-FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_linenumber = 1) l ON o_orderkey = l_orderkey GROUP BY ALL""")
+FROM orders LEFT JOIN (SELECT * FROM lineitem) l ON o_orderkey = l_orderkey GROUP BY ALL""")
 def _(spark, sf):
-    placed = load(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("issue"), F.col("l_partkey").alias("place"))
+    placed = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("issue"), F.col("l_partkey").alias("place"))
     issues = load(spark, sf, "orders").select(F.col("o_orderkey").alias("issue")).join(placed, "issue", "left")
     return rp.placed_once(issues, "issue")
 

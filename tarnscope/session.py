@@ -8,21 +8,24 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings every job wants. Shuffle width is left to AQE: start wide, coalesce at run time.
+# Settings every job wants.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
+# A local master has few cores and one heap. A cluster starts wide, since AQE joins small partitions
+# but splits only those of joins; its memory settings are its own.
+LOCAL = {"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"}
+WIDE = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "4000"}
 
 
 def build_session(master: str = "local[8]", app: str = "tarnscope", **extra) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app)
     settings = {
         **DEFAULTS,
-        "spark.sql.shuffle.partitions": "8",
-        "spark.driver.memory": "12g",
+        **(LOCAL if master.startswith("local") else WIDE),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -142,9 +144,26 @@ def mask_sizes(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
     return mask.groupBy(*keys).agg(F.count(F.lit(1)).alias("pixels"), (F.count(F.lit(1)) * 9).alias("list_bytes"))
 
 
-def write_result(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Result table; the commit protocol makes it visible whole or not at all."""
-    df.write.mode("overwrite").format(fmt).save(path)
+def write_result(df: DataFrame, path: str, fmt: str = "json") -> str:
+    """Write a result as a new version beside the earlier ones and return its folder.
+
+    The commit protocol marks a whole version with ``_SUCCESS``; readers take the latest marked one,
+    so an earlier result stays readable until the new one is complete.
+    """
+    place = f"{path.rstrip('/')}/version={time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    df.write.format(fmt).save(place)
+    return place
+
+
+def latest_result(spark: SparkSession, path: str) -> str:
+    """Folder of the latest whole version of a result."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop.Path(f"{path.rstrip('/')}/version=*/_SUCCESS"))
+    places = sorted(str(f.getPath().getParent().toString()) for f in found or [])
+    if not places:
+        raise FileNotFoundError(f"no whole result at {path}")
+    return places[-1]
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.utils import AnalysisException
 
 from tarnscope.session import scratch_path
 
@@ -78,6 +77,12 @@ def with_static(stream: DataFrame, static: DataFrame, keys: Sequence[str], how:
     return stream.join(static, list(keys), how)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def publish_to(path: str, keys: Sequence[str], at: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` writer that appends only keys not yet published.
 
@@ -89,9 +94,9 @@ def publish_to(path: str, keys: Sequence[str], at: str) -> Callable[[DataFrame,
         from tarnscope.operators.contract import publish
 
         spark = batch.sparkSession
-        try:
+        if path_exists(spark, path):
             earlier = spark.read.parquet(path).where(F.col("batch") != batch_id).select(*keys)
-        except AnalysisException:
+        else:
             earlier = batch.select(*keys).limit(0)
         fresh = publish(earlier, batch, keys, at)
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")

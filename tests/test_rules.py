@@ -190,3 +190,56 @@ def test_primary_tile_rule(spark):
     df = spark.createDataFrame(rows, "body string, tile string, zone boolean, share double")
     got = {(r.body, r.tile): r.role for r in geo.assign_primary_tile(df, "body", "tile", "zone", "share").collect()}
     assert got == {("a", "T1"): "primary", ("a", "T2"): "overlap", ("a", "T0"): "overlap", ("b", "T8"): "primary", ("b", "T9"): "overlap"}
+
+
+def test_rounding_at_ties_is_half_to_even(spark):
+    from tarnscope.functions import scalars as sc
+
+    start = F.timestamp_seconds(F.lit(0))
+    hours = [sc.hours_between(start, F.timestamp_seconds(F.lit(s))) for s in (450, 1350, 2250)]
+    row = spark.range(1).select(*hours, sc.share(F.lit(1), F.lit(128)), sc.share(F.lit(3), F.lit(128))).first()
+    assert list(row) == [0.12, 0.38, 0.62, 0.007812, 0.023438]
+
+
+def test_unknown_cloud_ranks_last_in_a_cover(spark):
+    from tarnscope.operators import covers as cv
+
+    pairs = spark.createDataFrame([("r", "unknown", 1, None), ("r", "cloudy", 1, 50)], "region string, take string, lake int, cloud int")
+    merges = {"cloud": F.max(cv.worst_if_unknown("cloud"))}
+    rows = cv.greedy_cover(pairs, "region", "take", "lake", merges, {"cloud": "max"}, [F.col("cloud")]).collect()
+    assert [(r["take"], r["n"]) for r in rows] == [("cloudy", 1)]
+
+
+def test_text_ids_break_ties_of_revisions(spark):
+    from tarnscope.operators import covers as cv
+
+    rows = [("r", "g", "s", "b-2", 1, "2020-01-02"), ("r", "g", "s", "a-1", 9, "2020-01-02"), ("r", "g", "s", "c-3", 5, "2020-01-01")]
+    items = spark.createDataFrame(rows, "region string, grp string, strip string, item string, cloud int, day string").withColumn("at", F.to_timestamp("day"))
+    out = cv.rank_datatakes(items.withColumn("uncovered", F.lit(0)), region="region", group="grp", identity=["strip"], created="at", item="item", cloud="cloud", sensing="at", uncovered="uncovered")
+    row = out.first()
+    assert (row["cloud"], row["items"], row["discarded"]) == (9, 1, 2)
+
+
+def test_publication_over_a_store_without_its_key_fails(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    from tarnscope.streaming.streams import publish_to
+
+    batch = spark.createDataFrame([(1, 5)], "k int, at int")
+    write = publish_to(str(tmp_path / "store"), ["k"], "at")
+    write(batch, 0)
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 1
+    spark.createDataFrame([(1,)], "other int").write.parquet(str(tmp_path / "bad" / "batch=0"))
+    with pytest.raises(AnalysisException):
+        publish_to(str(tmp_path / "bad"), ["k"], "at")(batch, 1)
+
+
+def test_an_earlier_result_stays_until_a_new_one_is_whole(spark, tmp_path):
+    from tarnscope.sources import files as fs
+
+    path = str(tmp_path / "result")
+    first = fs.write_result(spark.range(1), path)
+    assert fs.latest_result(spark, path).endswith(first.rsplit("/", 1)[1])
+    second = fs.write_result(spark.range(2), path)
+    (tmp_path / "result" / second.rsplit("/", 1)[1] / "_SUCCESS").unlink()
+    assert fs.latest_result(spark, path).endswith(first.rsplit("/", 1)[1])
