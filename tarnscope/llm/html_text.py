@@ -15,17 +15,34 @@ from pyspark.sql import types as T
 from tarnscope.llm.boosting import Trees, fit_trees
 from tarnscope.llm.common import with_fields
 
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object".split())
+INLINE = frozenset((
+    "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label",
+    "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+))
+VOID = frozenset((
+    "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
+))
+RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object"))
 # An opening tag of the first kind ends an open one of the second, as far as the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-SCOPE = frozenset("article aside blockquote body button caption div footer form header html li main nav section table td th".split())
-GOOD_WORDS = frozenset("article body content entry main post story text blog page column detail".split())
-BAD_WORDS = frozenset("ad ads advert advertisement alert aside banner bar breadcrumb breadcrumbs button buttons comment commentlist comments consent cookie cookies copyright disclaimer discuss discussion footer form gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promotion recommended related replies reply respond rss search share sharing sidebar signup social sponsor sponsored subscribe tags teaser toolbar warning widget".split())
-BAD_TAGS = frozenset("nav footer aside form header button select dialog menu fieldset".split())
-GOOD_TAGS = frozenset("article main section".split())
+CLOSES_P = frozenset((
+    "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2",
+    "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul",
+))
+SCOPE = frozenset((
+    "article", "aside", "blockquote", "body", "button", "caption", "div", "footer", "form", "header", "html", "li", "main", "nav",
+    "section", "table", "td", "th",
+))
+GOOD_WORDS = frozenset(("article", "body", "content", "entry", "main", "post", "story", "text", "blog", "page", "column", "detail"))
+BAD_WORDS = frozenset((
+    "ad", "ads", "advert", "advertisement", "alert", "aside", "banner", "bar", "breadcrumb", "breadcrumbs", "button", "buttons", "comment",
+    "commentlist", "comments", "consent", "cookie", "cookies", "copyright", "disclaimer", "discuss", "discussion", "footer", "form", "gdpr",
+    "header", "hidden", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination",
+    "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "rss", "search", "share", "sharing", "sidebar",
+    "signup", "social", "sponsor", "sponsored", "subscribe", "tags", "teaser", "toolbar", "warning", "widget",
+))
+BAD_TAGS = frozenset(("nav", "footer", "aside", "form", "header", "button", "select", "dialog", "menu", "fieldset"))
+GOOD_TAGS = frozenset(("article", "main", "section"))
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
