@@ -18,11 +18,9 @@ DATASTRIP_PATTERN = r"_S(\d{8}T\d{6})_N\d{2}\.\d{2}$"
 TILE_PATTERN = r"^(\d{1,2})([C-X])([A-Z]{2})$"
 GRID_CODE_PATTERN = r"^(?:MGRS-)?(\d{1,2})([C-X])([A-Z]{2})$"
 SCENE_SPEC_PATTERN = r"^(\d{2}[C-X][A-Z]{2}):(\d{4})-(\d{2})(?:-(\d{2}))?$"
-LAYERS = (
-    "B01 B02 B03 B04 B05 B06 B07 B08 B8A B11 B12 NDWI l2_flags settings"
-).split()
+LAYERS = ("B01", "B02", "B03", "B04", "B05", "B06", "B07", "B08", "B8A", "B11", "B12", "NDWI", "l2_flags", "settings")
 SEPARATOR = "\x01"
-BANDS = "B01 B02 B03 B04 B05 B06 B07 B08 B8A B11 B12".split()
+BANDS = ("B01", "B02", "B03", "B04", "B05", "B06", "B07", "B08", "B8A", "B11", "B12")
 
 
 def groups(text: Column, pattern: str, count: int) -> Column:

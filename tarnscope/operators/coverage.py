@@ -72,7 +72,7 @@ def compare_archives(
         F.count_if(pri & ~ref).alias("primary_not_in_reference"),
     )
     measures = (
-        "reference primary missing covered_by_fallback uncovered primary_not_in_reference".split()
+        ("reference", "primary", "missing", "covered_by_fallback", "uncovered", "primary_not_in_reference")
     )
     dense = dense_months(counts, keys, month, dict.fromkeys(measures, 0), start, end)
     return dense.withColumn(

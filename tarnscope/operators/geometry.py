@@ -284,15 +284,12 @@ def grid_bounds(x0: Column, y0: Column, width_10m: Column, height_10m: Column) -
 
 def window_for(bounds: dict[str, Column], x0: Column, y0: Column, rows: Column, cols: Column, resolution: Column, margin: float) -> dict[str, Column]:
     """Pixel window of a bounding box plus a margin, clipped to the tile."""
-    zero = F.lit(0)
-    col0 = F.greatest(F.floor((bounds["west"] - margin - x0) / resolution), zero)
-    row0 = F.greatest(F.floor((y0 - bounds["north"] - margin) / resolution), zero)
-    col1 = F.least(F.ceil((bounds["east"] + margin - x0) / resolution), cols)
-    row1 = F.least(F.ceil((y0 - bounds["south"] + margin) / resolution), rows)
-    return {
-        "row_off": row0, "col_off": col0,
-        "height": F.greatest(row1 - row0, zero), "width": F.greatest(col1 - col0, zero),
-    }
+    across = {"width": (bounds["west"] - x0, bounds["east"] - x0, cols, "col_off"), "height": (y0 - bounds["north"], y0 - bounds["south"], rows, "row_off")}
+    out = {}
+    for extent, (near, far, limit, offset) in across.items():
+        first = F.greatest(F.floor((near - margin) / resolution), F.lit(0))
+        out |= {offset: first, extent: F.greatest(F.least(F.ceil((far + margin) / resolution), limit) - first, F.lit(0))}
+    return out
 
 
 def grid_mismatch(a: dict[str, Column], b: dict[str, Column]) -> Column:

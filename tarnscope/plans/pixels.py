@@ -176,12 +176,12 @@ def stratified(spark, sf):
     """Moments per quality subset, band and class at the finest stratum, pooled upward."""
     quality = F.explode(F.when(F.col("clear"), F.array(F.lit("all"), F.lit("both_clear_water"))).otherwise(F.array(F.lit("all"))))
     p = pairs(spark, sf).withColumn("quality", quality)
-    fine = p.groupBy("tile", "size", "band", "cls", "quality").agg(*px.moment_columns("a", "s"))
-    return pooled(fine, [[], ["tile"], ["size"]], ["band", "cls", "quality"], px.merge_moments())
+    fine = p.groupBy("tile", "size", "band", "cls", "quality").agg(*px.paired_sums("a", "s"))
+    return pooled(fine, [[], ["tile"], ["size"]], ["band", "cls", "quality"], px.pooled_sums())
 
 
 def pair_summary(spark, sf):
-    return px.summarize_moments(stratified(spark, sf))
+    return px.describe_pairs(stratified(spark, sf))
 
 
 query("paired_value_summary", "F25 F27 F30 F33 U04 U05", STRATA + f""" SELECT kind, "group", band, cls, quality, {SUMMARY} FROM strata GROUP BY ALL""")(
@@ -309,7 +309,7 @@ def _(spark, sf):
     rows, cols = px.origin_offset((zero, zero), (-F.col("dx"), F.col("dy")), 20)
     w = w.withColumns({"dr": px.whole_offset(rows), "dc": px.whole_offset(cols)}).where("dr is not null and dc is not null")
     window = {n: F.col(n) for n in ("row_off", "col_off", "height", "width")}
-    clip = px.overlap_window(window, F.col("dr"), F.col("dc"), 5490)
+    clip = px.window_in_both(window, (F.col("dr"), F.col("dc")), 5490)
     return w.select("k", *[v.alias(n) for n, v in clip.items()]).where("height is not null")
 
 
@@ -343,7 +343,7 @@ def _(spark, sf):
     p = tile_pixels(spark, sf)
     both = px.join_overlap(p.where("tile = 0"), p.where("tile = 1"), [], F.lit(0), F.lit(-2), ["value"])
     both = both.where("a_value <> 0 and b_value <> 0").withColumn("band", F.floor(F.col("row") / 32))
-    return px.summarize_moments(both.groupBy("band").agg(*px.moment_columns("a_value", "b_value")))
+    return px.describe_pairs(both.groupBy("band").agg(*px.paired_sums("a_value", "b_value")))
 
 
 MEANS = """WITH e AS (SELECT vec_id, unnest(embedding) AS f, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),

@@ -40,7 +40,10 @@ SELECT f.finding, CAST(f.value AS DOUBLE) AS value FROM t, LATERAL (VALUES ('ref
   ('complete', complete), ('empty', empty), ('partial', partial), ('no_reference', no_reference), ('tiles', tiles), ('months', months)) f(finding, value)""")
 def _(spark, sf):
     g, status = gaps(spark, sf), F.col("status")
-    names = "reference present missing covered uncovered tile_months complete empty partial no_reference tiles months".split()
+    names = (
+        "reference", "present", "missing", "covered", "uncovered", "tile_months", "complete", "empty", "partial", "no_reference", "tiles",
+        "months",
+    )
     totals = g.agg(
         F.sum("reference").alias("reference"), F.sum("primary").alias("present"), F.sum("missing").alias("missing"), F.sum("covered_by_fallback").alias("covered"),
         F.sum("uncovered").alias("uncovered"), F.count(F.lit(1)).alias("tile_months"), *[F.count_if(status == s).alias(s) for s in ("complete", "empty", "partial", "no_reference")],

@@ -12,13 +12,14 @@ from tarnscope.schemas import ARCHIVE_PRODUCT, CATALOG_FEATURE
 
 # Asset keys of the reflectance bands and quality layers, and the public host.
 REFLECTANCE_KEYS = (
-    "coastal blue green red rededge1 rededge2 rededge3 nir nir08 nir09 swir16 swir22"
-).split()
-QUALITY_KEYS = "scl aot wvp cloud snow".split()
+    "coastal", "blue", "green", "red", "rededge1", "rededge2", "rededge3", "nir", "nir08", "nir09", "swir16", "swir22",
+)
+QUALITY_KEYS = ("scl", "aot", "wvp", "cloud", "snow")
 COG_TYPE = "cloud-optimized"
 ITEM_FIELDS = (
-    "id collection datetime platform tile baseline sequence software offset_applied cloud_cover nodata_pct product_uri generation_time created"
-).split()
+    "id", "collection", "datetime", "platform", "tile", "baseline", "sequence", "software", "offset_applied", "cloud_cover", "nodata_pct",
+    "product_uri", "generation_time", "created",
+)
 
 
 def read_features(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

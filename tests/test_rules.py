@@ -114,7 +114,7 @@ def test_half_even_histogram_and_quantile(spark):
 
 def test_correlation_is_null_without_variance(spark):
     df = spark.createDataFrame([(1, 5), (1, 9)], "a int, s int")
-    row = pixels.summarize_moments(df.agg(*pixels.moment_columns("a", "s"))).first()
+    row = pixels.describe_pairs(df.agg(*pixels.paired_sums("a", "s"))).first()
     assert row.pearson_r is None and row.verdict == "agree"
 
 
