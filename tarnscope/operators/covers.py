@@ -57,12 +57,20 @@ def greedy_cover(
     return chosen
 
 
-def cover_assignments(chosen: DataFrame, pairs: DataFrame, region: str, chooser: str, element: str) -> DataFrame:
-    """The set every element was assigned to: the first chosen one that can cover it."""
+def cover_assignments(chosen: DataFrame, pairs: DataFrame, region: str, chooser: str, element: str, wanted: DataFrame | None = None) -> DataFrame:
+    """The set every element was assigned to: the first chosen one that can cover it.
+
+    With ``wanted``, the elements that must be covered, one that no set covers is an error.
+    """
     usable = pairs.join(chosen.select(region, chooser, "round"), [region, chooser])
-    return usable.groupBy(region, element).agg(
+    assigned = usable.groupBy(region, element).agg(
         F.min_by(chooser, "round").alias(chooser), F.min("round").alias("round")
     )
+    if wanted is None:
+        return assigned
+    missing = F.raise_error(F.concat(F.lit("no set covers "), F.col(element).cast("string"))).cast(assigned.schema[chooser].dataType)
+    every = wanted.select(region, element).distinct().join(assigned, [region, element], "left")
+    return every.withColumn(chooser, F.when(F.col("round").isNotNull(), F.col(chooser)).otherwise(missing))
 
 
 def spread_sample(

@@ -243,3 +243,30 @@ def test_an_earlier_result_stays_until_a_new_one_is_whole(spark, tmp_path):
     second = fs.write_result(spark.range(2), path)
     (tmp_path / "result" / second.rsplit("/", 1)[1] / "_SUCCESS").unlink()
     assert fs.latest_result(spark, path).endswith(first.rsplit("/", 1)[1])
+
+
+def test_an_element_that_no_set_covers_is_an_error(spark):
+    pairs = spark.createDataFrame([("r", "a", 1), ("r", "b", 1), ("r", "b", 2)], "region string, take string, lake int")
+    chosen = covers.greedy_cover(pairs, "region", "take", "lake", {}, {}, [])
+    assert {(r["lake"], r["take"]) for r in covers.cover_assignments(chosen, pairs, "region", "take", "lake", pairs).collect()} == {(1, "b"), (2, "b")}
+    wanted = spark.createDataFrame([("r", 3)], "region string, lake int")
+    with pytest.raises(PySparkException, match="no set covers 3"):
+        covers.cover_assignments(chosen, pairs, "region", "take", "lake", wanted).collect()
+
+
+def test_headline_of_inputs_that_disagree_is_refused(spark):
+    from tarnscope.operators import reports
+
+    rows = spark.createDataFrame([(1, True), (2, False)], "v int, complete boolean")
+    assert reports.headline(rows.where("complete"), F.col("v") * 1.0, F.col("complete"), "inputs disagree").first()["headline"] == 1.0
+    with pytest.raises(PySparkException, match="inputs disagree"):
+        reports.headline(rows, F.col("v") * 1.0, F.col("complete"), "inputs disagree").collect()
+
+
+def test_changed_digest_is_refused(spark):
+    from tarnscope.operators import checks
+
+    manifest, found = (spark.createDataFrame([("a", x)], "name string, sha256 string") for x in ("1", "2"))
+    assert checks.require_same_digest(manifest, manifest, "name", "sha256").count() == 1
+    with pytest.raises(PySparkException, match="digest changed: a"):
+        checks.require_same_digest(manifest, found, "name", "sha256").collect()
