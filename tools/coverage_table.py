@@ -14,11 +14,13 @@ from tarnscope.plans import load_all  # noqa: E402
 HEAD = """# Coverage
 
 Every row of the inventory with the registered queries that run it. A query is checked against
-its SQL in DuckDB by `tools/check_queries.py` and by `tests/test_queries.py`. Written by
-`tools/coverage_table.py`.
+its SQL in DuckDB by `tools/check_queries.py` and by `tests/test_queries.py`. "partial" means that
+the queries do a part of the row; the note says what is absent. "no" means that the row is only
+touched by the queries named. States other than "yes" stand in `tools/coverage_notes.tsv`. Written
+by `tools/coverage_table.py`.
 
-| Row | What it does | Queries |
-|---|---|---|
+| Row | What it does | State | Queries | Note |
+|---|---|---|---|---|
 """
 
 
@@ -28,10 +30,12 @@ def main() -> None:
     for item in load_all().values():
         for row in item.rows:
             by_row.setdefault(row, []).append(item.name)
+    notes = dict(line.split("\t", 1) for line in (ROOT / "tools/coverage_notes.tsv").read_text().splitlines())
     lines = []
     for row, _signature, what in listed:
         names = ", ".join(f"`{n}`" for n in sorted(by_row.get(row, []))) or "none"
-        lines.append(f"| {row} | {what} | {names} |")
+        state, _, note = notes.get(row, "yes\t").partition("\t")
+        lines.append(f"| {row} | {what} | {state} | {names} | {note} |")
     (ROOT / "COVERAGE.md").write_text(HEAD + "\n".join(lines) + "\n")
 
 
