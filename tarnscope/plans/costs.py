@@ -151,7 +151,7 @@ def _(spark, sf):
     return m.select("p_partkey", *[F.try_element_at("m", F.lit(n)).alias(n) for n in ("tiles", "grids", "extra")], F.size("m").alias("settings"))
 
 
-@query("reader_calibration", "K06 K19 F56 F57 F62 F85", """WITH c AS (SELECT l_linenumber AS reader, l_returnflag AS cohort, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS cpu, CAST(sum(l_partkey) AS DOUBLE) AS requested, CAST(sum(l_suppkey) AS DOUBLE) AS decoded FROM lineitem GROUP BY ALL)
+@query("reader_calibration", "K06 F85", """WITH c AS (SELECT l_linenumber AS reader, l_returnflag AS cohort, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS cpu, CAST(sum(l_partkey) AS DOUBLE) AS requested, CAST(sum(l_suppkey) AS DOUBLE) AS decoded FROM lineitem GROUP BY ALL)
 SELECT reader, round(avg(cpu / (requested / 1e6)), 6) AS cpu_per_mb, round(avg(requested / decoded), 6) AS requested_per_decoded, round(median(requested), 2) AS median_requested, count(*) AS cohorts FROM c GROUP BY reader""")
 def _(spark, sf):
     c = load(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("reader"), F.col("l_returnflag").alias("cohort")).agg(

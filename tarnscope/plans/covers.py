@@ -213,7 +213,7 @@ def _(spark, sf):
     return frozen.join(again, "lake").withColumn("unchanged", F.col("plan_digest") == F.col("_now")).drop("_now")
 
 
-@query("dropped_bodies", "W27 D34 D35 D36", """WITH f AS (SELECT l_suppkey AS body, count(*) AS candidates, count(*) FILTER (l_returnflag = 'R') AS complete, max(l_partkey) AS top FROM lineitem GROUP BY ALL),
+@query("dropped_bodies", "W27 D35 D36", """WITH f AS (SELECT l_suppkey AS body, count(*) AS candidates, count(*) FILTER (l_returnflag = 'R') AS complete, max(l_partkey) AS top FROM lineitem GROUP BY ALL),
 c AS (SELECT body FROM f WHERE body % 7 <> 0), p AS (SELECT body FROM f WHERE body % 7 <> 0 AND top % 3 <> 0)
 SELECT s_suppkey AS body, coalesce(f.candidates, 0) AS candidates, coalesce(f.complete, 0) AS complete, CASE WHEN c.body IS NULL THEN 'no candidate' WHEN p.body IS NULL THEN 'no complete product' ELSE 'kept' END AS reason
 FROM supplier LEFT JOIN f ON s_suppkey = f.body LEFT JOIN c ON s_suppkey = c.body LEFT JOIN p ON s_suppkey = p.body""")

@@ -155,7 +155,7 @@ def _(spark, sf):
     return out.select(*columns[:-1], F.col("value").cast("bigint").alias("value"), "side", "surplus")
 
 
-@query("strategy_signatures", "F70 F75 F44 F51", f"""WITH {PIX}, s AS (SELECT item, count(*) AS n,
+@query("strategy_signatures", "F70 F75 F51", f"""WITH {PIX}, s AS (SELECT item, count(*) AS n,
   {digest_sql("lake || '|' || band || '|' || row || '|' || col || '|' || value")} AS signature FROM pixels GROUP BY ALL)
 SELECT item, n AS rows, signature, CAST(3 AS BIGINT) AS strategies, TRUE AS equal FROM s""")
 def _(spark, sf):
@@ -204,7 +204,7 @@ def _(spark, sf):
     return ex.block_cells(w, "r", "c", "h", "w", (512, 512)).select("k", "br", "bc")
 
 
-@query("block_byte_accounting", "F59 F60 F61 F63", """WITH u AS (SELECT l_suppkey % 10 AS cohort, l_partkey % 64 AS br, l_orderkey % 64 AS bc, l_linenumber AS band FROM lineitem),
+@query("block_byte_accounting", "F59 F60 F63", """WITH u AS (SELECT l_suppkey % 10 AS cohort, l_partkey % 64 AS br, l_orderkey % 64 AS bc, l_linenumber AS band FROM lineitem),
 p AS (SELECT cohort, band, br, bc, count(*) AS n FROM u GROUP BY ALL),
 c AS (SELECT cohort, band, CAST(sum(n) AS BIGINT) AS logical_blocks, count(*) AS unique_blocks,
   CAST(sum(n * (1000 + br * 64 + bc)) AS BIGINT) AS logical_bytes, CAST(sum(1000 + br * 64 + bc) AS BIGINT) AS unique_bytes FROM p GROUP BY ALL)

@@ -97,7 +97,7 @@ def _(spark, sf):
     return two_hop(spark, sf).select("k", "product", "datastrip", "c1_item", "alternatives", "pair_status")
 
 
-@query("product_per_item", "D04 D43", TWO_HOP + """, w AS (
+@query("product_per_item", "D04", TWO_HOP + """, w AS (
   SELECT c1_item, arg_max(product, (generation, product)) AS winner FROM pairs WHERE k % 8 <> 0 AND c1_item IS NOT NULL GROUP BY ALL)
 SELECT product, CASE WHEN k % 8 <> 0 THEN c1_item END AS c1_item,
   CASE WHEN k % 8 = 0 THEN 'incomplete_layers' WHEN c1_item IS NOT NULL AND product <> winner THEN 'superseded_same_datastrip'

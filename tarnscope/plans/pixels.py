@@ -376,7 +376,7 @@ def _(spark, sf):
     return px.parent_values(means(spark, sf), parents(spark, sf), []).select("row", "col", "mean", "valid", "parent", "parent_valid")
 
 
-@query("resampled_pair_differences", "D18 D22 D23 X15", PARENTS + """ SELECT "row", col, round((mean * 1e-4 - 1e-1) * 10000 - (parent * 1e-4 - 1e-1) * 10000, 4) AS difference,
+@query("resampled_pair_differences", "D18 D22 D23", PARENTS + """ SELECT "row", col, round((mean * 1e-4 - 1e-1) * 10000 - (parent * 1e-4 - 1e-1) * 10000, 4) AS difference,
   abs(round((mean * 1e-4 - 1e-1) * 10000 - (parent * 1e-4 - 1e-1) * 10000, 4)) > 50 AS disagree FROM j WHERE valid AND parent_valid""")
 def _(spark, sf):
     j = px.parent_values(means(spark, sf), parents(spark, sf), []).where("valid and parent_valid")

@@ -109,7 +109,7 @@ def _(spark, sf):
     return rp.placed_once(issues, "issue")
 
 
-@query("earlier_digest_families", "D45 V22 V26 F51", """WITH d AS (SELECT l_suppkey AS lake, l_returnflag AS family, sha256(CAST(l_partkey % 50 AS VARCHAR)) AS digest FROM lineitem)
+@query("earlier_digest_families", "D45 V26 F51", """WITH d AS (SELECT l_suppkey AS lake, l_returnflag AS family, sha256(CAST(l_partkey % 50 AS VARCHAR)) AS digest FROM lineitem)
 SELECT lake, family, count(DISTINCT digest) AS digests, min(digest) AS first_digest, max(digest) AS last_digest, count(*) AS records FROM d GROUP BY ALL""")
 def _(spark, sf):
     d = load(spark, sf, "lineitem").select(
@@ -151,7 +151,7 @@ def _(spark, sf):
     )
 
 
-@query("paired_candidates_by_month", "D42 V20 V23 V24 V25 C09", """WITH c AS (SELECT o_orderkey AS k, o_custkey % 25 AS tile, strftime(o_orderdate, '%Y-%m') AS month FROM orders), p AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R')
+@query("paired_candidates_by_month", "D42 V20 V23 C09", """WITH c AS (SELECT o_orderkey AS k, o_custkey % 25 AS tile, strftime(o_orderdate, '%Y-%m') AS month FROM orders), p AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R')
 SELECT tile, month, count(*) AS candidates, count(p.k) AS paired FROM c LEFT JOIN p USING (k) GROUP BY ALL""")
 def _(spark, sf):
     c = load(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 25).alias("tile"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))

@@ -102,7 +102,7 @@ def _(spark, sf):
     return t.select("k", "grid_code", "epsg", "sequence", "requester_pays", F.array_join("asset_keys", ",").alias("asset_keys"))
 
 
-@query("stand_in_items", "D41 D43 D35", f"""WITH {PRODUCTS} SELECT product AS id, k AS paired_item, replace(product, '_MSIAQR_', '_MSIL1C_') AS l1c_product,
+@query("stand_in_items", "D41 D35", f"""WITH {PRODUCTS} SELECT product AS id, k AS paired_item, replace(product, '_MSIAQR_', '_MSIL1C_') AS l1c_product,
   'https://store.example/version_01/T' || tile || '/' || product || '_B04.tif' AS red, k * 3 AS red_size FROM products""")
 def _(spark, sf):
     p = products(spark, sf)
