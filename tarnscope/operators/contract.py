@@ -37,9 +37,9 @@ def serve(
     revisions: DataFrame, bodies: DataFrame, body: str, *, period: tuple[Column, Column], time: str, families: Sequence[str], family: str,
     keys: Sequence[str], order: Sequence[str], values: Sequence[str], cutoff: Column,
 ) -> DataFrame:
-    """Parameterized read: bodies, period, family and an as-of cutoff. Filters reach the scan,
-    and the bodies come in by a semi join."""
-    chosen = revisions.where(F.col(time).between(*period) & F.col(family).isin(*families))
+    """Parameterized read: bodies, period, family and an as-of cutoff. The period is half-open and on the
+    stored time, so that it reaches the scan; the bodies come in by a semi join."""
+    chosen = revisions.where((F.col(time) >= period[0]) & (F.col(time) < period[1]) & F.col(family).isin(*families))
     chosen = chosen.join(bodies.select(body).distinct(), body, "left_semi")
     return as_of(chosen, keys, order, values, cutoff)
 

@@ -57,7 +57,7 @@ FROM events WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' AND e
 def _(spark, sf):
     bodies = load(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
     out = ct.serve(
-        revisions(spark, sf), bodies, "user_id", period=(F.lit("2024-01-05"), F.lit("2024-01-25")), time="day", families=["click", "view"], family="event_type",
+        revisions(spark, sf), bodies, "user_id", period=(stamp("2024-01-05"), stamp("2024-01-26")), time="available_at", families=["click", "view"], family="event_type",
         keys=KEYS, order=["available_at", "revision"], values=["dn"], cutoff=stamp("2024-01-20"),
     )
     return out.drop("available_at")

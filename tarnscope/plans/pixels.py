@@ -368,7 +368,7 @@ def parents(spark, sf):
 
 
 PARENTS = MEANS + """, par AS (SELECT p_partkey // 43 AS prow, p_partkey % 43 AS pcol, CASE WHEN p_partkey % 9 = 0 THEN 0 ELSE CAST(p_size AS BIGINT) * 100 END AS parent FROM part),
-j AS (SELECT m."row", m.col, mean, valid, parent, parent <> 0 AS parent_valid FROM m JOIN par ON m."row" // 3 = prow AND m.col // 3 = pcol)"""
+j AS (SELECT m."row", m.col, mean, valid, parent, coalesce(parent <> 0, FALSE) AS parent_valid FROM m LEFT JOIN par ON m."row" // 3 = prow AND m.col // 3 = pcol)"""
 
 
 @query("parent_values_60m", "D20", PARENTS + " SELECT * FROM j")

@@ -47,6 +47,11 @@ def test_cutoff_filter_reaches_the_scan(spark):
     assert "LessThanOrEqual(ts" in plan
 
 
+def test_both_ends_of_a_served_period_reach_the_scan(spark):
+    plan = plan_of(REGISTRY["served_records"].run(spark, SF))
+    assert "GreaterThanOrEqual(ts" in plan and "LessThan" in plan
+
+
 def test_every_row_of_the_inventory_has_a_query_or_a_note():
     import re
     from pathlib import Path
