@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnscope.llm.common import with_fields
+from tarnscope.llm.common import sliced, with_fields
 
 BITS = 17
 SIZES = (1, 2, 3)
@@ -67,7 +67,7 @@ def document_frequencies(documents: DataFrame, text: str) -> tuple[np.ndarray, i
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << BITS, np.int64), 0
         seen = np.full(1 << BITS, -1, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for value in batch.column(0).to_pylist():
                 grams = grams_of(value)
                 if len(grams):
@@ -151,7 +151,7 @@ def train_languages(labelled: DataFrame, *, text: str = "text", lang: str = "lan
     languages = sorted(sizes)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for t, label in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 bucket, n = np.unique(grams_of(t), return_counts=True)
@@ -188,7 +188,7 @@ def identify_languages(documents: DataFrame, model: Model | None, *, text: str =
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             said, score = [], []
             for value in batch.column(text).to_pylist():
                 grams = grams_of(value)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnscope.llm.common import chunks, gram_hashes, mix, smallest_labels, word_hashes, written
+from tarnscope.llm.common import chunks, gram_hashes, mix, sliced, smallest_labels, word_hashes, written
 
 SHINGLE = 5
 # Signatures of 48 values of 8 bits, split into 8 chunks of 6 values. By pigeonhole two signatures
@@ -61,7 +61,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         texts = [t.translate(_LOWER) for t in text_bytes(batch.column("text"))]
         for at, end in chunks(texts, 1 << 22):
             sets = shingle_sets(texts[at:end])
@@ -93,7 +93,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingle sets of nodes, from texts whose set is that of the node; an id can occur with several."""
-    for batch in batches:
+    for batch in sliced(batches):
         texts = [t.translate(_LOWER) for t in text_bytes(batch.column("text"))]
         for at, end in chunks(texts, 1 << 22):
             sets = shingle_sets(texts[at:end])
