@@ -28,19 +28,19 @@ def pack_selection(pixels: DataFrame, keys: Sequence[str], position: str, pixel_
     )
 
 
-def unpack_selection(selections: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """One row per selected pixel. A declared length that does not match is an error."""
+def unpack_selection(selections: DataFrame, keep: Sequence[str], values: str | None = None) -> DataFrame:
+    """One row per selected pixel, with its value where a block's values stand in the row. A declared
+    length that does not match is an error."""
     agrees = (F.size("positions") == F.col("n")) & (F.size("classes") == F.col("n"))
     checked = F.when(agrees, F.arrays_zip("positions", "classes")).otherwise(
         F.raise_error(F.lit("selection length differs from its declared count"))
     )
-    return selections.select(*keep, F.inline(checked)).withColumnsRenamed(
-        {"positions": "pos", "classes": "pixel_class"}
-    )
 
+    def pixel(s: Column) -> Column:
+        fields = [s["positions"].alias("pos"), s["classes"].alias("pixel_class")]
+        return F.struct(*fields, *([] if values is None else [F.element_at(values, s["positions"] + 1).alias("value")]))
 
-def block_pixels(blocks: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return blocks.select(*keep, F.posexplode("values").alias("pos", "value"))
+    return selections.select(*keep, F.inline(F.transform(checked, pixel)))
 
 
 def extract(
@@ -49,25 +49,22 @@ def extract(
     """Values under every selection: one row per lake, item, band and pixel.
 
     ``per_body`` joins packed selections to packed blocks, so a block travels once per
-    selection that needs it. ``shared_blocks`` first keeps the blocks any selection names.
-    ``full_scan`` opens every block and joins pixel by pixel. All three give the same rows.
+    selection that needs it. ``shared_blocks`` first gathers the selections of a block, so that it
+    travels once for all of them. ``full_scan`` reads every block, also those without a selection.
+    All open a block inside its row and give the same rows; no pixel is shuffled.
     """
     selection_keep = ["lake", *block_keys]
+    kept = [*selection_keep, *item_keys, "width", "nodata"]
     if strategy == "per_body":
         joined = selections.join(blocks, list(block_keys))
-        pixels = unpack_selection(joined, [*selection_keep, *item_keys, "width", "nodata", "values"])
-        value = F.element_at("values", F.col("pos") + 1)
-        return pixels.select(*selection_keep, *item_keys, "width", "nodata", "pos", "pixel_class", value.alias("value"))
-    if strategy == "shared_blocks":
-        wanted = selections.select(*block_keys).distinct()
-        blocks = blocks.join(wanted, list(block_keys), "left_semi")
-        return extract(selections, blocks, block_keys, item_keys, "per_body")
-    if strategy == "full_scan":
-        listed = unpack_selection(selections, selection_keep)
-        opened = block_pixels(blocks, [*block_keys, *item_keys, "width", "nodata"])
-        joined = listed.join(opened, [*block_keys, "pos"])
-        return joined.select(*selection_keep, *item_keys, "width", "nodata", "pos", "pixel_class", "value")
-    raise ValueError(f"unknown strategy: {strategy}")
+    elif strategy in ("shared_blocks", "full_scan"):
+        mine = F.struct("lake", "n", "positions", "classes")
+        gathered = selections.groupBy(*block_keys).agg(F.collect_list(mine).alias("_mine"))
+        joined = blocks.join(gathered, list(block_keys), "inner" if strategy == "shared_blocks" else "left")
+        joined = joined.select(*block_keys, *item_keys, "width", "nodata", "values", F.inline("_mine"))
+    else:
+        raise ValueError(f"unknown strategy: {strategy}")
+    return unpack_selection(joined, kept, "values").select(*kept, "pos", "pixel_class", "value")
 
 
 def with_tile_position(pixels: DataFrame, height: Column, row_block: str = "br", col_block: str = "bc") -> DataFrame:

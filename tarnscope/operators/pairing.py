@@ -71,11 +71,13 @@ def joined_items(
     )
 
 
-def latest_created(items: DataFrame, keys: Sequence[str], *, created: str, item: str) -> DataFrame:
-    """The latest created item per key, ties to the larger id, a missing time first."""
+def latest_created(items: DataFrame, keys: Sequence[str], *, created: str, item: str, weight: str | None = None, more: Sequence[str] = ()) -> DataFrame:
+    """The latest created item per key, ties to the larger id, a missing time first. ``weight`` counts
+    the items that a row already stands for, ``more`` are further columns of the latest."""
     order = F.struct(F.coalesce(F.col(created).cast("string"), F.lit("")).alias("c"), F.col(item).alias("i"))
     return items.groupBy(*keys).agg(
-        F.max_by(F.col(item), order).alias("item"), F.count(F.lit(1)).alias("candidates")
+        F.max_by(F.col(item), order).alias("item"), (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("candidates"),
+        *[F.max_by(F.col(c), order).alias(c) for c in more],
     )
 
 
@@ -100,12 +102,13 @@ def pair_products(
     strip: str,
     created: str,
     item: str,
+    weight: str | None = None,
 ) -> DataFrame:
     """Two-hop pairing: product to Level-1C name to datastrip to the latest created item.
 
     ``c1_items`` is reduced to one row per tile, platform and datastrip before it is joined.
     """
-    latest = latest_created(c1_items, [tile, platform, strip], created=created, item=item)
+    latest = latest_created(c1_items, [tile, platform, strip], created=created, item=item, weight=weight)
     hop = scenes.join(strips, name, "left")
     single = F.when(F.col("strips") == 1, F.col("datastrip"))
     hop = hop.withColumn("datastrip", single)

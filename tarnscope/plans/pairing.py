@@ -70,10 +70,11 @@ def two_hop(spark, sf):
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("created"),
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("c1"),
     )
-    c1 = li.join(p.select("k", "tile", "platform", F.col("sensing").alias("strip")), "k").drop("k")
+    li = pr.latest_created(li, ["k"], created="created", item="c1", more=["created"])
+    c1 = li.join(p.select("k", "tile", "platform", F.col("sensing").alias("strip")), "k").drop("k").withColumnRenamed("item", "c1")
     return pr.pair_products(
         scenes, strips, c1, product="product", name="l1c", tile="tile", platform="platform",
-        strip="strip", created="created", item="c1",
+        strip="strip", created="created", item="c1", weight="candidates",
     )
 
 

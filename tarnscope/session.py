@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -14,6 +16,7 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 # A local master has few cores and one heap. A cluster starts wide, since AQE joins small partitions
 # but splits only those of joins; its memory settings are its own.
@@ -58,6 +61,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -68,6 +72,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"tarnscope-{name}-{uuid.uuid4().hex}")
 
 
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what ``scratch_path`` named below the shared folder and return how many paths. For the end
+    of a job: results that were not written elsewhere are lost."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    pattern = hadoop.Path(os.path.join(shared_folder(spark), "tarnscope-*"))
+    store = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(store.delete(found.getPath(), True) for found in store.globStatus(pattern) or [])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, unlike a local one."""
     shared_folder(df.sparkSession)

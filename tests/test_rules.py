@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 
 import pytest
@@ -270,3 +271,24 @@ def test_changed_digest_is_refused(spark):
     assert checks.require_same_digest(manifest, manifest, "name", "sha256").count() == 1
     with pytest.raises(PySparkException, match="digest changed: a"):
         checks.require_same_digest(manifest, found, "name", "sha256").collect()
+
+
+def test_scratch_is_cleared(spark, tmp_path):
+    from tarnscope import session
+
+    class Stub:
+        def __init__(self, spark):
+            self._jvm, self._jsc, self.conf, self.sparkContext = spark._jvm, spark._jsc, self, self
+
+        def get(self, key, default=None):
+            return str(tmp_path)
+
+        def getCheckpointDir(self):
+            return str(tmp_path)
+
+    stub = Stub(spark)
+    for name in ("a", "b"):
+        os.makedirs(session.scratch_path(stub, name))
+    (tmp_path / "other").mkdir()
+    assert session.clear_scratch(stub) == 2
+    assert [p.name for p in tmp_path.iterdir()] == ["other"]
