@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnscope.llm.common import chunks, gram_hashes, positions_left, word_hashes, written
+from tarnscope.llm.common import _PLACES, chunks, gram_hashes, mix, positions_left, word_hashes, written
 from tarnscope.llm.near_dedup import text_bytes
 
 WINDOW = 13
@@ -17,8 +17,8 @@ GRAM = 5
 # A suffix is cut after 13 words and written as two symbols: a 64-bit code of its first six words,
 # and one of the other seven.
 FIRST = 6
-# Suffixes that one subtree may hold (about 30 bytes each while it is built).
-GROUP = 200_000
+# Suffixes that one subtree may hold (about 100 bytes each while it is built).
+GROUP = 2_000_000
 # An anchor in this share of a batch's texts, and in so many, has its windows partitioned by their whole length.
 HOT_SHARE, HOT_TEXTS = 0.02, 100
 
@@ -121,12 +121,12 @@ def _suffixes(hot_anchors: np.ndarray, n_groups: int, hot: bool):
                 low, starts = anchors(words, bounds)
                 at = np.flatnonzero(starts & np.isin(low, np.frombuffer(b"".join(sets[row]), np.uint64)))
                 at = at[np.isin(low[at], hot_anchors) == hot]
-                got.append((gram_hashes(words, FIRST)[at], gram_hashes(words[FIRST:], WINDOW - FIRST)[at], np.full(len(at), row), at.astype(np.int32)))
+                got.append((gram_hashes(words, FIRST)[at], gram_hashes(words[FIRST:], WINDOW - FIRST)[at], np.full(len(at), row), at.astype(np.int32), low[at]))
             if not got:
                 continue
-            one, two, row, at = (np.concatenate(x) for x in zip(*got, strict=True))
+            one, two, row, at, low = (np.concatenate(x) for x in zip(*got, strict=True))
             if hot:
-                yield pa.record_batch({"one": pa.array(one.view(np.int64)), "two": pa.array(two.view(np.int64)), "doc_id": pa.array(ids[row]), "row_key": pa.array(keys[row]), "at": pa.array(at)})
+                yield _runs(one, two, low, row, at, ids, keys)
                 continue
             group = ((one >> np.uint64(32)) * np.uint64(n_groups) >> np.uint64(32)).astype(np.int64)
             rows = list(packed(group, np.lexsort((row, group)), one=one, two=two, doc=ids[row], key=keys[row], at=at))
@@ -135,6 +135,35 @@ def _suffixes(hot_anchors: np.ndarray, n_groups: int, hot: bool):
     return emit
 
 
+def _runs(one: np.ndarray, two: np.ndarray, low: np.ndarray, row: np.ndarray, at: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """Neighbouring windows of one anchor, nine at most, as one row: equal passages give equal runs."""
+    fresh = np.append(True, (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1) | (low[1:] != low[:-1]))[: len(at)]
+    start = np.flatnonzero(fresh)
+    place = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
+    codes = [np.add.reduceat(mix(x * _PLACES[place]), start).view(np.int64) if len(start) else np.zeros(0, np.int64) for x in (one, two)]
+    ends = pa.array(np.append(start, len(at)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x.view(np.int64))) for x in (one, two)]
+    names = ["run", "run_two", "one", "two", "doc_id", "row_key", "at"]
+    return pa.RecordBatch.from_arrays([*map(pa.array, codes), *lists, pa.array(ids[row[start]]), pa.array(keys[row[start]]), pa.array(at[start])], names)
+
+
+def _late_in_runs(runs: DataFrame) -> DataFrame:
+    """``doc_id, row_key, at`` of windows under very common anchors that a smaller document has.
+
+    Equal runs are aggregated map-side first; their windows are the leaves whose smallest document is
+    taken over all kinds of runs, and goes back to the kinds of runs and from there to the documents.
+    """
+    kind = ["run", "run_two"]
+    kinds = runs.groupBy(*kind).agg(F.min("doc_id").alias("smallest"), F.first("one").alias("one"), F.first("two").alias("two"))
+    leaves = kinds.select(*kind, "smallest", F.posexplode(F.arrays_zip("one", "two")).alias("i", "leaf"))
+    nodes = leaves.groupBy("leaf").agg(F.min("smallest").alias("smallest"))
+    found = leaves.drop("smallest").join(nodes, "leaf").groupBy(*kind).agg(F.array_sort(F.collect_list(F.struct("i", "smallest"))).alias("nodes"))
+    late = F.filter(F.transform("nodes", lambda x: F.when(x["smallest"] < F.col("doc_id"), F.col("at") + x["i"])), lambda p: p.isNotNull())
+    rows = runs.drop("one", "two").join(found, kind).select("doc_id", "row_key", late.alias("late")).where(F.size("late") > 0)
+    hexes = F.transform(F.flatten(F.collect_list("late")), little_endian)
+    return rows.groupBy("doc_id", "row_key").agg(F.unhex(F.array_join(hexes, "")).alias("at"))
+
+
 def _subtree(table: pa.Table) -> pa.Table:
     """Suffixes of one group in order are the leaves of its tree; where neighbours agree in all 13 words
     they hang on one deep node. The node's smallest document keeps the window, later ones lose it."""
@@ -183,8 +212,8 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     cut after 13 words, are partitioned by prefix: a range of codes of their first six words, sized
     by their number, and for anchors in very many texts all 13 words. Suffixes of a group, sorted,
     are the leaves of a subtree; its nodes at 13 words are the repeats. Groups of a whole-length
-    prefix are one node each, whose smallest id is aggregated map-side first, so no task holds a
-    common passage's leaves. Symbols are 128 bits for 13 words; texts are compared by them.
+    prefix are aggregated map-side first, run by run of neighbouring windows, so no task holds a common
+    passage's leaves. Symbols are 128 bits for 13 words; texts are compared by them.
 
     Exact copies need no tree: all their windows start in the smallest of them. Null and empty texts
     and those under 13 words lose nothing. Rows without an id neither give nor lose words. Repeated rows
@@ -210,11 +239,8 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     packs = rows.mapInArrow(_suffixes(hot, n_groups, False), "part int, one binary, two binary, doc binary, key binary, at binary")
     spans = packs.groupBy("part").applyInArrow(_subtree, "doc_id long, row_key long, at binary")
     if len(hot):
-        leaves = rows.mapInArrow(_suffixes(hot, n_groups, True), "one long, two long, doc_id long, row_key long, at int")
-        nodes = leaves.groupBy("one", "two").agg(F.min("doc_id").alias("smallest"))
-        late = leaves.join(nodes, ["one", "two"]).where("doc_id > smallest")
-        places = F.unhex(F.array_join(F.transform(F.collect_list("at"), little_endian), ""))
-        spans = spans.union(late.groupBy("doc_id", "row_key").agg(places.alias("at")))
+        runs = rows.mapInArrow(_suffixes(hot, n_groups, True), "run long, run_two long, one array<long>, two array<long>, doc_id long, row_key long, at int")
+        spans = spans.union(_late_in_runs(written(runs, "runs")))
     spans = spans.unionByName(copies, allowMissingColumns=True)
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("row_key", "at")).alias("spans"))
     return docs.join(spans, "doc_id", "left").select("doc_id", "row_key", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept binary")
