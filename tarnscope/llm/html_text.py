@@ -309,7 +309,8 @@ def extract_text(pages: DataFrame, *, html: str = "html", text: str = "text", sa
     Null and empty pages, and pages without kept text, give the empty text. Repeated pages give equal
     texts. All other columns stay; a column named ``text`` is replaced. Very long pages are read whole.
     """
-    some = pages.where(F.length(html) <= LONGEST_SAMPLE).select(F.col(html).alias("html")).orderBy(F.xxhash64("html"), "html").limit(sample_pages)
+    share = F.pmod(F.xxhash64(html), F.lit(1_000_003)) < int(1_000_003 * min(1.0, 4 * sample_pages / max(pages.count(), 1)))
+    some = pages.where(share & (F.length(html) <= LONGEST_SAMPLE)).select(F.col(html).alias("html")).orderBy(F.xxhash64("html"), "html").limit(sample_pages)
     shared = pages.sparkSession.sparkContext.broadcast(train_extractor([r["html"] for r in some.collect()]))
     out = pages.drop(text)
 
