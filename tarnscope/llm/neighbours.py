@@ -7,7 +7,7 @@ from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnscope.llm.common import _PLACES, mix, smallest_labels, written
@@ -17,6 +17,8 @@ TREES, LEAF = 8, 100
 BLOCK = 512
 AUDIT, RECALL, ROUNDS = 400, 0.998, 6
 BUCKET_ROWS = 60_000
+# Centers of components that meet in one block, blocks at least, and what angles may be off by rounding.
+CENTERS, CENTER_PARTS, SLACK = 4096, 8, 1e-6
 _BITS = np.uint64(1) << np.arange(63, dtype=np.uint64)
 
 
@@ -101,7 +103,7 @@ def bucketed(rows: DataFrame, k: int) -> DataFrame:
 def salted(rows: DataFrame, key: str, size: int) -> DataFrame:
     """Split keys with more than ``size`` rows evenly; ``group`` tells the parts apart."""
     counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / size))
+    part = F.pmod(F.xxhash64("node", key), F.ceil(F.col("_n") / size))
     return rows.join(counts, key).withColumn("group", F.xxhash64(key, part)).drop("_n")
 
 
@@ -123,9 +125,14 @@ def descend(lists: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return written(shortened(edges.union(edges.select("other", "node", "sim")).union(fresh), k), "lists")
 
 
+def saturated(least: float) -> Column:
+    """Whether a list is full of links, so that further links may have found no room in it."""
+    return F.coalesce((F.size("near") >= NEIGHBOURS) & (F.element_at("near", -1)["sim"] >= least), F.lit(False))
+
+
 def audit(lists: DataFrame, vectors: DataFrame, least: float) -> float:
-    """Share of the links of some vectors, chosen by a hash, that the lists hold. A saturated list counts
-    as complete, since its group is counted in full later."""
+    """Share of the links of some vectors, chosen by a hash, that are in a list of one of their two nodes,
+    or that ``block_counts`` and ``across`` count since both lists are saturated."""
     share = F.pmod(F.xxhash64("node"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, 4 * AUDIT / max(vectors.count(), 1)))
     some = vectors.where(share).orderBy(F.xxhash64("node")).limit(AUDIT).collect()
     by_size: dict[int, list] = {}
@@ -145,10 +152,11 @@ def audit(lists: DataFrame, vectors: DataFrame, least: float) -> float:
             yield pa.record_batch({"node": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64())})
 
     links = vectors.mapInArrow(truth, "node long, other long")
-    held = links.join(lists, "node", "left")
-    full = F.coalesce((F.element_at("near", -1)["sim"] >= least) & (F.size("near") >= NEIGHBOURS), F.lit(False))
-    found = full | F.coalesce(F.exists("near", lambda x: x["other"] == F.col("other")), F.lit(False))
-    n = held.agg(F.count("*").alias("n"), F.count_if(found).alias("found")).collect()[0]
+    own = lists.select("node", F.transform("near", lambda x: x["other"]).alias("others"), saturated(least).alias("full"))
+    theirs = own.select(F.col("node").alias("other"), F.col("others").alias("their_others"), F.col("full").alias("their_full"))
+    held = links.join(own, "node", "left").join(theirs, "other", "left")
+    found = (F.col("full") & F.col("their_full")) | F.array_contains("others", F.col("other")) | F.array_contains("their_others", F.col("node"))
+    n = held.agg(F.count("*").alias("n"), F.count_if(F.coalesce(found, F.lit(False))).alias("found")).collect()[0]
     return n["found"] / n["n"] if n["n"] else 1.0
 
 
@@ -180,6 +188,79 @@ def block_counts(members: DataFrame, least: float) -> DataFrame:
     return rows.groupBy("label", "i", "j").applyInArrow(_count(least), "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Angle of every vector with the center of its component."""
+    for batch in batches:
+        pairs = zip(batch.column("vector").to_pylist(), batch.column("center").to_pylist(), strict=True)
+        cosines = [float((matrix([v]) @ matrix([c]).T)[0, 0]) for v, c in pairs]
+        yield pa.record_batch({"label": batch.column("label"), "angle": pa.array(np.arccos(np.clip(cosines, -1, 1)), pa.float64())})
+
+
+def _close(least: float):
+    """Pairs of components of two blocks of centers that can hold a link, by their radii."""
+
+    def close(table: pa.Table) -> pa.Table:
+        labels, radius, side = (table.column(c).to_numpy() for c in ("label", "radius", "side"))
+        vectors = table.column("center").to_pylist()
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        right = np.flatnonzero(side > 0)
+        other = matrix([vectors[i] for i in right]) if len(right) else None
+        for rows in np.split(left := np.flatnonzero(side < 2), range(BLOCK, len(left), BLOCK)) if len(right) else ():
+            if len(rows):
+                angle = np.arccos(np.clip(matrix([vectors[i] for i in rows]) @ other.T, -1, 1))
+                i, j = np.nonzero(angle <= radius[rows][:, None] + radius[right][None, :] + np.arccos(least) + SLACK)
+                i, j = labels[rows[i]], labels[right[j]]
+                a.append(np.minimum(i, j)[i != j])
+                b.append(np.maximum(i, j)[i != j])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return close
+
+
+def _count_across(least: float):
+    """Links between the vectors of a block of one component and a block of another, by multiplicity."""
+
+    def count(table: pa.Table) -> pa.Table:
+        nodes, weight, first = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "first"))
+        x = matrix(table.column("vector").to_pylist())
+        left, right = np.flatnonzero(first), np.flatnonzero(~first)
+        near = x[left] @ x[right].T >= least
+        links = np.zeros(len(nodes), np.int64)
+        links[left], links[right] = near @ weight[right], near.T @ weight[left]
+        some = np.flatnonzero(links)
+        return pa.table({"a": table.column("a").take(some), "b": table.column("b").take(some), "node": nodes[some], "links": links[some]})
+
+    return count
+
+
+def across(members: DataFrame, least: float) -> DataFrame:
+    """Exact number of links between components (``a, b, node, links``).
+
+    A component's center is one of its vectors and its radius the largest angle with it, so two
+    components whose centers are further apart than their radii and the angle of a link have none.
+    Centers meet block against block, and then the blocks of the components that are left.
+    """
+    sizes = members.groupBy("label").agg(F.count("*").alias("size"))
+    centers = members.where(F.col("node") == F.col("label")).select("label", F.col("vector").alias("center"))
+    reach = members.join(centers, "label").select("label", "vector", "center").mapInArrow(_reach, "label long, angle double")
+    centers = written(centers.join(reach.groupBy("label").agg(F.max("angle").alias("radius")), "label").join(sizes, "label"), "centers")
+    n = max(CENTER_PARTS, ceil(centers.count() / CENTERS))
+    parts = centers.select("label", "center", "radius", F.length("center").alias("width"), F.pmod(F.xxhash64("label"), F.lit(n)).cast("int").alias("part"))
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    side = F.when(F.col("part") == F.col("other"), 1).when(F.col("part") < F.col("other"), 0).otherwise(2)
+    parts = parts.select("width", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "label", "center", "radius", side.alias("side"))
+    close = written(parts.groupBy("width", "i", "j").applyInArrow(_close(least), "a long, b long").distinct(), "close")
+    count = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    close = close.join(sizes.select(F.col("label").alias("a"), count("size").alias("a_blocks")), "a").join(sizes.select(F.col("label").alias("b"), count("size").alias("b_blocks")), "b")
+    rows = []
+    for own, other in (("a", "b"), ("b", "a")):
+        block = F.pmod(F.xxhash64("node"), F.col(f"{own}_blocks")).cast("int")
+        met = close.join(members.withColumnRenamed("label", own), own)
+        met = met.select("a", "b", block.alias(f"{own}_block"), F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(f"{other}_block"), "node", "n", "vector")
+        rows.append(met.select("a", "b", "a_block", "b_block", "node", "n", "vector", F.lit(own == "a").alias("first")))
+    return rows[0].union(rows[1]).groupBy("a", "b", "a_block", "b_block").applyInArrow(_count_across(least), "a long, b long, node long, links long")
+
+
 def link_embeddings(embeddings: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", least: float = 0.95) -> DataFrame:
     """``vec_id, n_links, component_id, kept``, one row per row of ``embeddings``.
 
@@ -188,7 +269,8 @@ def link_embeddings(embeddings: DataFrame, *, vec_id: str = "vec_id", vector: st
     fixed number of vectors adds rounds, with lists twice as long, until it finds its links. Pairs
     of cosine ``least`` or more, in double precision, are links. A list that is full of links is
     saturated: there the whole component is counted, block against block, so that dense groups
-    lose no link and write no pairs.
+    lose no link and write no pairs. A link that neither list has room for joins two such components,
+    so these are also counted against each other, where their radii allow a link, and joined.
 
     Null, empty and zero vectors and those with a null or non-finite component link with nothing, and
     vectors of another length link only with their like. A null id takes part; ids that repeat count
@@ -215,12 +297,17 @@ def link_embeddings(embeddings: DataFrame, *, vec_id: str = "vec_id", vector: st
     near = lists.select("node", F.explode("near").alias("near")).where(F.col("near.sim") >= least).select("node", F.col("near.other").alias("other"))
     near = written(near.union(near.select("other", "node")).distinct(), "links")
     labels = smallest_labels(near, "node", "other")
-    full = lists.where((F.size("near") >= NEIGHBOURS) & (F.element_at("near", -1)["sim"] >= least)).select("node").join(labels, "node").select("label").distinct()
-    labels = labels.join(full.withColumn("full", F.lit(True)), "label", "left")
-    counted = block_counts(labels.where("full").join(nodes, "node").select("label", "node", "n", "vector"), least)
-    loose = labels.where("full is null").select("node").join(near, "node").join(nodes.select(F.col("node").alias("other"), "n"), "other").groupBy("node").agg(F.sum("n").alias("links"))
+    full = lists.where(saturated(least)).select("node").join(labels, "node").select("label").distinct()
+    labels = written(labels.join(full.withColumn("full", F.lit(True)), "label", "left"), "labels")
+    members = written(labels.where("full").join(nodes, "node").select("label", "node", "n", "vector"), "members")
+    crossing = written(across(members, least), "across")
+    counted = block_counts(members, least).union(crossing.select("node", "links"))
+    loose = labels.where("full is null").select("node").join(near, "node").join(nodes.select(F.col("node").alias("other"), "n"), "other").select("node", F.col("n").alias("links"))
+    counted = counted.union(loose).groupBy("node").agg(F.sum("links").alias("links"))
+    joined = smallest_labels(crossing.select("a", "b").distinct(), "a", "b").select(F.col("node").alias("label"), F.col("label").alias("top"))
+    labels = labels.join(joined, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
     own = nodes.select("node", "vector", "n", "smallest").join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    own = own.join(own.groupBy("label").agg(F.min("smallest").alias("component_id")), "label").join(counted.union(loose), "node", "left")
+    own = own.join(own.groupBy("label").agg(F.min("smallest").alias("component_id")), "label").join(counted, "node", "left")
     own = own.select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     out = packed.join(own, "vector", "left")
     component = F.coalesce("component_id", "vec_id")
