@@ -270,7 +270,8 @@ def link_embeddings(embeddings: DataFrame, *, vec_id: str = "vec_id", vector: st
     of cosine ``least`` or more, in double precision, are links. A list that is full of links is
     saturated: there the whole component is counted, block against block, so that dense groups
     lose no link and write no pairs. A link that neither list has room for joins two such components,
-    so these are also counted against each other, where their radii allow a link, and joined.
+    so these are also counted against each other, where their radii allow a link, and joined. If the audit has not passed after ``ROUNDS`` rounds,
+    every component and every single vector is counted like this, so the result is exact.
 
     Null, empty and zero vectors and those with a null or non-finite component link with nothing, and
     vectors of another length link only with their like. A null id takes part; ids that repeat count
@@ -286,18 +287,21 @@ def link_embeddings(embeddings: DataFrame, *, vec_id: str = "vec_id", vector: st
     bits = max(1, ceil(log2(max(total, 2) / LEAF)))
     leaves = vectors.mapInArrow(_codes(bits), "node long, codes array<long>").select("node", F.explode("codes").alias("code"))
     first = salted(leaves, "code", 2 * LEAF).select("group", "node").join(vectors, "node").withColumn("floor", F.lit(-2.0))
-    k = NEIGHBOURS
+    k, passed = NEIGHBOURS, False
     lists = written(shortened(bucketed(first.select("group", "node", "floor", "vector"), k), k), "lists")
     for turn in range(ROUNDS):
         lists = descend(lists, vectors, k)
-        if turn and audit(lists, vectors, least) >= RECALL:
+        passed = turn > 0 and audit(lists, vectors, least) >= RECALL
+        if passed:
             break
         if turn:
             k *= 2
     near = lists.select("node", F.explode("near").alias("near")).where(F.col("near.sim") >= least).select("node", F.col("near.other").alias("other"))
     near = written(near.union(near.select("other", "node")).distinct(), "links")
     labels = smallest_labels(near, "node", "other")
-    full = lists.where(saturated(least)).select("node").join(labels, "node").select("label").distinct()
+    if not passed:
+        labels = vectors.select("node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    full = (lists.where(saturated(least)) if passed else vectors).select("node").join(labels, "node").select("label").distinct()
     labels = written(labels.join(full.withColumn("full", F.lit(True)), "label", "left"), "labels")
     members = written(labels.where("full").join(nodes, "node").select("label", "node", "n", "vector"), "members")
     crossing = written(across(members, least), "across")

@@ -42,3 +42,14 @@ def test_op3_links_between_groups_with_full_lists(spark):
     want = plain_links(rows)
     assert len({c for _, c in want.values()}) == 2 and max(n for n, _ in want.values()) > 45
     assert got_links(spark, rows) == want
+
+
+def test_op3_is_exact_if_the_audit_has_not_passed(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    one = rng.standard_normal((150, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([one, one + 0.2 * rng.standard_normal(one.shape)]))]
+    want = plain_links(rows)
+    assert sum(n for n, _ in want.values()) > 200
+    monkeypatch.setattr(neighbours, "LEAF", 0.001)
+    monkeypatch.setattr(neighbours, "ROUNDS", 1)
+    assert got_links(spark, rows) == want
