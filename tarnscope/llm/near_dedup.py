@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import count
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +14,25 @@ from pyspark.sql import functions as F
 from tarnscope.llm.common import chunks, gram_hashes, mix, sliced, smallest_labels, word_hashes, written
 
 SHINGLE = 5
-# Signatures of 48 values of 8 bits, split into 8 chunks of 6 values. By pigeonhole two signatures
-# that differ in at most 15 values agree in a chunk but for one value at most, so a key for every
-# chunk and every value left out of it finds the pair. At similarity 0.85 more than 15 values differ
-# for 4 pairs in 10,000, and most of those agree in a chunk all the same.
-VALUES, CHUNKS = 48, 8
-WIDTH = VALUES // CHUNKS
+# Signatures have values of 8 bits, in chunks of 6 values. Signatures that agree in a chunk but for one
+# value at most share a key, since there is one for every chunk and every value left out of it. 8 chunks
+# are enough at similarity 0.85: 6 in a million pairs just there agree in no chunk.
+WIDTH = 6
+CHUNKS, CHUNKS_AT = 8, 85
 STAR_ROUNDS = 3
-_RNG = np.random.default_rng(85)
-_SEEDS = _RNG.integers(0, 1 << 64, (VALUES, 2), dtype=np.uint64) | np.uint64(1)
+
+
+def chunk_miss(percent: int) -> float:
+    """Probability that two signatures of texts of this similarity differ in two values of a chunk or more."""
+    same = percent / 100
+    return 1 - same**WIDTH - WIDTH * (1 - same) * same ** (WIDTH - 1)
+
+
+def chunks_for(percent: int) -> int:
+    """Chunks with which a pair just at ``percent`` % is missed no more often than with ``CHUNKS`` at ``CHUNKS_AT``."""
+    if percent >= CHUNKS_AT:
+        return CHUNKS
+    return ceil(CHUNKS * log(chunk_miss(CHUNKS_AT)) / log(chunk_miss(percent)))
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -38,15 +49,16 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of ``VALUES`` bytes for every set; empty sets get zeros."""
+def signatures(sets: list[np.ndarray], n_values: int) -> np.ndarray:
+    """One row of ``n_values`` bytes for every set; empty sets get zeros."""
     sizes = np.array([len(s) for s in sets])
-    out = np.zeros((len(sets), VALUES), np.uint8)
+    out = np.zeros((len(sets), n_values), np.uint8)
     full = np.flatnonzero(sizes)
     if not len(full):
         return out
+    seeds = np.random.default_rng(85).integers(0, 1 << 64, (n_values, 2), dtype=np.uint64) | np.uint64(1)
     values, starts = np.concatenate([sets[i] for i in full]), np.cumsum(sizes[full]) - sizes[full]
-    for k, (a, b) in enumerate(_SEEDS):
+    for k, (a, b) in enumerate(seeds):
         out[full, k] = mix(np.minimum.reduceat(values * a + b, starts)) >> np.uint64(56)
     return out
 
@@ -60,35 +72,42 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
-        texts = [t.translate(_LOWER) for t in text_bytes(batch.column("text"))]
-        for at, end in chunks(texts, 1 << 22):
-            sets = shingle_sets(texts[at:end])
-            yield pa.record_batch({
-                "doc_id": batch.column("doc_id").slice(at, end - at),
-                "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                "mark": pa.array(marks(sets), pa.binary()),
-                "signature": pa.array([row.tobytes() for row in signatures(sets)], pa.binary()),
-            })
+def _sign(n_values: int):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            texts = [t.translate(_LOWER) for t in text_bytes(batch.column("text"))]
+            for at, end in chunks(texts, 1 << 22):
+                sets = shingle_sets(texts[at:end])
+                yield pa.record_batch({
+                    "doc_id": batch.column("doc_id").slice(at, end - at),
+                    "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                    "mark": pa.array(marks(sets), pa.binary()),
+                    "signature": pa.array([row.tobytes() for row in signatures(sets, n_values)], pa.binary()),
+                })
+
+    return sign
 
 
 _LOWER = bytes(range(256)).lower()
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """48 keys of a signature: the chunk, the place left out, and the other five values."""
+def _keys(n_chunks: int):
+    """A key for each value of a signature: its chunk, its place left out, and the chunk's other five values."""
     others = [[p for p in range(WIDTH) if p != j] for j in range(WIDTH)]
-    for batch in batches:
-        rows = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, CHUNKS, WIDTH).astype(np.int64)
-        keys = np.empty((len(rows), CHUNKS, WIDTH), np.int64)
-        for j, rest in enumerate(others):
-            key = np.arange(CHUNKS)[None, :] * WIDTH + j
-            for p in rest:
-                key = key << 8 | rows[:, :, p]
-            keys[:, :, j] = key
-        nodes = batch.column("node").to_numpy(zero_copy_only=False)
-        yield pa.record_batch({"key": pa.array(keys.ravel()), "node": pa.array(np.repeat(nodes, VALUES))})
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(-1, n_chunks, WIDTH).astype(np.int64)
+            keys = np.empty((len(rows), n_chunks, WIDTH), np.int64)
+            for j, rest in enumerate(others):
+                key = np.arange(n_chunks)[None, :] * WIDTH + j
+                for p in rest:
+                    key = key << 8 | rows[:, :, p]
+                keys[:, :, j] = key
+            nodes = batch.column("node").to_numpy(zero_copy_only=False)
+            yield pa.record_batch({"key": pa.array(keys.ravel()), "node": pa.array(np.repeat(nodes, n_chunks * WIDTH))})
+
+    return keyed
 
 
 def _own_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +200,12 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     component. Repeated rows get the same values and stay. Very long texts are shingled whole; an
     empty table gives no rows; other columns are ignored.
     """
+    n_chunks = chunks_for(percent)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(docs.mapInArrow(_sign, "doc_id long, n_shingles long, mark binary, signature binary"), "signatures")
+    signed = written(docs.mapInArrow(_sign(n_chunks * WIDTH), "doc_id long, n_shingles long, mark binary, signature binary"), "signatures")
     nodes = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    keys = nodes.select("node", "signature").mapInArrow(_keys, "key long, node long")
+    keys = nodes.select("node", "signature").mapInArrow(_keys(n_chunks), "key long, node long")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     shared = written(keys.join(shared, "key"), "keys")
     wanted = shared.select("node").distinct().join(nodes, "node").select("doc_id", "mark", "node")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
+import corpus_pipeline
 import numpy as np
 import pytest
+from odd_tables import sentence, write_all
 
-from tarnscope.llm import neighbours
+from tarnscope.llm import near_dedup, neighbours
+from tarnscope.llm.common import load
 
 
 def plain_links(rows: list[tuple[int, list[float]]]) -> dict[int, tuple[int, int]]:
@@ -53,3 +58,44 @@ def test_op3_is_exact_if_the_audit_has_not_passed(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "LEAF", 0.001)
     monkeypatch.setattr(neighbours, "ROUNDS", 1)
     assert got_links(spark, rows) == want
+
+
+def near_texts() -> list[tuple]:
+    """Groups of 200-word texts with one to eight scattered words changed, similarity 0.67 to 0.95."""
+    rng = random.Random(12)
+    rows = []
+    for group in range(30):
+        words = sentence(rng, 200).split()
+        rows.append((2 * len(rows), " ".join(words), None, "src"))
+        for n in (3, 4, 4, 5, 8) if group % 2 else (4, 6):
+            places = rng.sample(range(8, 192, 9), n)
+            rows.append((2 * len(rows) + 1, " ".join(f"new{i}" if i in places else w for i, w in enumerate(words)), None, "src"))
+    return rows
+
+
+def plain_survivors(rows: list[tuple], least: float) -> set[int]:
+    """Smallest id of every group of texts linked by 5-word shingles, by brute force."""
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.lower().split() for _, t, *_ in rows)]
+    label = [r[0] for r in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+    for _ in rows:
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    return {r[0] for r, c in zip(rows, label, strict=True) if r[0] == c}
+
+
+def test_pipeline_drops_near_copies_from_80_percent_on(spark, tmp_path):
+    rows = near_texts()
+    want = plain_survivors(rows, 0.8)
+    assert 30 < len(want) < len(plain_survivors(rows, 0.85)) - 20
+    sf_dir = write_all(tmp_path, rows)
+    docs = load(spark, sf_dir, "documents")
+    assert {r["doc_id"] for r in corpus_pipeline.minhash_near_dedup(spark, docs, sf_dir).collect()} == want
+    out = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r["doc_id"] for r in out} == want and len(out) == len(want) and all(r["round_trip"] for r in out)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 85, 90])
+def test_chunks_miss_no_more_pairs_at_other_thresholds(percent):
+    n = near_dedup.chunks_for(percent)
+    assert near_dedup.chunk_miss(percent) ** n <= near_dedup.chunk_miss(85) ** 8
