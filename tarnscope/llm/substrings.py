@@ -1,4 +1,4 @@
-"""Substring deduplication by prefix-partitioned suffix trees."""
+"""Substring deduplication by grouping the hashes of 13-word windows, in ranges of a hash of their first words."""
 
 from __future__ import annotations
 
