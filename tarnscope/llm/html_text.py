@@ -22,7 +22,9 @@ INLINE = frozenset((
 VOID = frozenset((
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
 ))
-RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object"))
+RAW = frozenset(("script", "style", "textarea", "title"))
+# Formulas and drawings stand in a line of text; a block tag inside ends them, as browsers do.
+FOREIGN = frozenset(("math", "svg"))
 # An opening tag of the first kind ends an open one of the second, as far as the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 CLOSES_P = frozenset((
@@ -65,7 +67,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block elements in page order, parents first, and the texts with the element that holds them. A
     block boundary is an empty text. Tags that were left open are closed as browsers do."""
     nodes, texts, stack = [Node("html", -1, 0)], [], [(0, "html")]
-    at, raw, n_links = 0, None, 0
+    at, n_links, n_foreign = 0, 0, 0
 
     def say(piece: str) -> None:
         if piece:
@@ -79,24 +81,19 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
             node.marks += sum(map(piece.count, ".,;:!?"))
 
     def close(k: int) -> None:
-        nonlocal n_links
+        nonlocal n_links, n_foreign
         n_links -= sum(t == "a" for _, t in stack[k:])
+        n_foreign -= sum(t in FOREIGN for _, t in stack[k:])
         if any(i >= 0 for i, _ in stack[k:]):
             texts.append((0, ""))
         del stack[k:]
 
-    for m in TOKEN.finditer(html):
-        if m.start() < at:
-            continue
-        if raw is None:
-            say(html[at : m.start()])
+    while m := TOKEN.search(html, at):
+        say(html[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if raw is not None:
-            raw = None if m[1] and tag == raw else raw
-            continue
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][1] == tag:
@@ -108,11 +105,14 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in ("html", "body"):
             continue
         if tag in RAW:
-            raw = tag if not m[3].endswith("/") else None
-            if tag in ("script", "style", "textarea", "title"):
-                end = re.compile(f"</{tag}", re.I).search(html, at)
-                at = end.start() if end else len(html)
+            end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(html, at)
+            if end:
+                at = end.end()
+            elif tag in ("script", "style"):
+                at = len(html)
             continue
+        if n_foreign and (tag in CLOSES_P or tag in CLOSES):
+            close(next(k for k, (_, t) in enumerate(stack) if t in FOREIGN))
         if tag in CLOSES_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][1] == "p":
@@ -130,13 +130,14 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     if tag != "tr":
                         break
         here = next(i for i, _ in reversed(stack) if i >= 0)
-        if tag in INLINE:
+        if tag in INLINE or tag in FOREIGN or n_foreign:
             nodes[here].tags += 1
             if tag == "br":
                 texts.append((here, " "))
-            elif tag not in VOID:
+            elif tag not in VOID and not ((n_foreign or tag in FOREIGN) and m[3].endswith("/")):
                 stack.append((-1, tag))
                 n_links += tag == "a"
+                n_foreign += tag in FOREIGN
             continue
         texts.append((0, ""))
         if tag in ("input", "hr", "img"):
@@ -155,8 +156,7 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         nodes[here].children.append(len(nodes))
         stack.append((len(nodes), tag))
         nodes.append(node)
-    if raw is None:
-        say(html[at:])
+    say(html[at:])
     return nodes, texts
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from odd_tables import sentence, write_all
 
-from tarnscope.llm import near_dedup, neighbours
+from tarnscope.llm import html_text, near_dedup, neighbours
 from tarnscope.llm.common import load
 
 
@@ -99,3 +99,17 @@ def test_pipeline_drops_near_copies_from_80_percent_on(spark, tmp_path):
 def test_chunks_miss_no_more_pairs_at_other_thresholds(percent):
     n = near_dedup.chunks_for(percent)
     assert near_dedup.chunk_miss(percent) ** n <= near_dedup.chunk_miss(85) ** 8
+
+
+@pytest.mark.parametrize("html, lines", [
+    ("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be</p>", "Let x=2 be"),
+    ("<p>a</p><noscript><p>b</p></noscript><object data='x'>c</object><p>d</p>", "a\nb\nc\nd"),
+    ("<p>a <svg><path d='x'/><text>b</text></svg> c</p><template>d</template><iframe>e</iframe>", "a b c\nd\ne"),
+    ("<p>a</p><svg><g><p>b</p><div>c</div>", "a\nb\nc"),
+    ("<p>a</p><noscript><img src=x><p>b</p>", "a\nb"),
+    ("<p>a</p><textarea><p>b</p>", "a\nb"),
+    ("<script>if(a<b){}</script><p>c</p>", "c"),
+])
+def test_op2_keeps_all_but_scripts_and_styles(html, lines):
+    nodes, texts = html_text.parse(html)
+    assert html_text.blocks(texts, np.ones(len(nodes), bool)) == lines
