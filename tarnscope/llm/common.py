@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from tarnscope.session import scratch_path
 
 CHUNK_BYTES = 1 << 20
+# Arrow batches between the JVM and Python end at so many bytes, whatever the length of the texts.
+BATCH_BYTES = 4 << 20
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _RNG = np.random.default_rng(20240607)
@@ -26,6 +28,29 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of the session's Arrow batches; rows alone say nothing about memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column in ``taken`` has it."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def packed(df: DataFrame, text: str, pack: str) -> DataFrame:
+    """``text`` and one struct ``pack`` of all other columns: no name can clash, and a text travels once."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias(pack), F.col(text))
+
+
+def unpacked(columns: list[str], text: str, pack: str) -> list[Column]:
+    """The columns as they were before ``packed``."""
+    return [F.col(c) if c == text else F.col(f"{pack}.`{c}`").alias(c) for c in columns]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: its rows are computed once, and a
     lost executor costs no recomputation of what stands above."""

@@ -80,6 +80,7 @@ def _sign(n_values: int):
                 sets = shingle_sets(texts[at:end])
                 yield pa.record_batch({
                     "doc_id": batch.column("doc_id").slice(at, end - at),
+                    "text_hash": batch.column("text_hash").slice(at, end - at),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                     "mark": pa.array(marks(sets), pa.binary()),
                     "signature": pa.array([row.tobytes() for row in signatures(sets, n_values)], pa.binary()),
@@ -187,7 +188,8 @@ def all_pairs(open_keys: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``, one row per row of ``documents``.
+    """``doc_id, text_hash, n_shingles, component_id, kept``, one row per row of ``documents``; ``text_hash``
+    is ``xxhash64`` of the text and tells the rows of a repeated id apart.
 
     Documents are linked if their 5-word shingle sets have a similarity of at least ``percent`` %.
     Equal sets are one node. Nodes that share a key are compared with the key's center first; nodes
@@ -196,13 +198,13 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     one node alone rule out, so no link is lost to a hot key.
 
     Null or empty texts have no shingles and no links. A null id has no component; its row is kept.
-    An id that occurs with several texts takes part with each, and its rows share the smallest
-    component. Repeated rows get the same values and stay. Very long texts are shingled whole; an
+    An id that occurs with several texts takes part with each, and each of its rows has the component
+    of its text. Repeated rows get the same values and stay. Very long texts are shingled whole; an
     empty table gives no rows; other columns are ignored.
     """
     n_chunks = chunks_for(percent)
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(docs.mapInArrow(_sign(n_chunks * WIDTH), "doc_id long, n_shingles long, mark binary, signature binary"), "signatures")
+    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    signed = written(docs.mapInArrow(_sign(n_chunks * WIDTH), "doc_id long, text_hash long, n_shingles long, mark binary, signature binary"), "signatures")
     nodes = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("mark").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keys = nodes.select("node", "signature").mapInArrow(_keys(n_chunks), "key long, node long")
@@ -233,9 +235,9 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     ids = nodes.select("node", "mark", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     component = ids.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     members = ids.join(component, "label").select("mark", "component_id")
-    rows = signed.select("doc_id", "n_shingles", "mark").join(members, "mark", "left")
+    rows = signed.select("doc_id", "text_hash", "n_shingles", "mark").join(members, "mark", "left")
     rows = rows.withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")))
     return rows.select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+        "doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.coalesce("component_id", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
     )

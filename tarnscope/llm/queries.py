@@ -63,7 +63,7 @@ def op8_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_multi_index_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(load(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
