@@ -5,7 +5,85 @@ from __future__ import annotations
 WORDS4 = """list_filter(regexp_split_to_array(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"""
 
+# crc32 of the strings {1} of a relation {0}: table c with columns s and crc.
+CRC32 = """k AS (SELECT list(list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda v, b: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, i) ORDER BY i) AS k
+  FROM (SELECT unnest(range(256)) AS i)),
+y AS (SELECT s, list_transform(range(0, length(h), 2), lambda i: CAST('0x' || h[i + 1:i + 2] AS BIGINT)) AS y
+  FROM (SELECT s, hex(encode(s)) AS h FROM (SELECT DISTINCT {1} AS s FROM {0}))),
+c AS (SELECT s, xor(list_reduce(y, lambda v, b: xor(v >> 8, k[(xor(v, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS crc FROM y, k)"""
+# A step of the search for the cheapest edits, from the end of a conversation to its start: the cost, in
+# ten digits, and the edits, for each state of the grammar.
+ADD = """(lpad(CAST(CAST({0}[:10] AS BIGINT) + {1} AS VARCHAR), 10, '0') || '{2}' || {0}[11:])"""
+
+
+def repair_step(v: list[str], turn: str) -> list[str]:
+    """Best ways at a turn for the states start, after system, after user, after assistant."""
+    out = []
+    for state, (only, takes) in enumerate(((2, "su"), (2, "u"), (3, "a"), (2, "u"))):
+        goes, cut = f"{turn}.must_go", f"5 * {turn}.cut"
+        ways = [ADD.format(v[state], 2, "D"), f"CASE WHEN NOT {goes} THEN {ADD.format(v[only], f'1 + {cut}', 'R')} END"]
+        ways += [f"CASE WHEN NOT {goes} AND {turn}.first = '{r}' THEN {ADD.format(v[{'s': 1, 'u': 2, 'a': 3}[r]], cut, 'K')} END" for r in takes]
+        out.append(f"least({', '.join(ways)})")
+    return out
+
+
+def insert_step(v: list[str]) -> list[str]:
+    """The same ways, or up to two insertions before one of them."""
+    one = ADD.format(v[2], 5, "I"), ADD.format(v[3], 5, "I")
+    two = ADD.format(one[1], 5, "I")
+    return [f"least({v[0]}, {one[0]}, {two})", f"least({v[1]}, {one[0]}, {two})", f"least({v[2]}, {one[1]})", f"least({v[3]}, {one[0]})"]
+
+
 SQL = {
+    "op11_suffix_shared_repair": f"""
+WITH o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
+{CRC32.format("o", "s")},
+d AS (SELECT conv_id, turn, crc % 20 AS d, CASE WHEN crc % 20 = 4 THEN 'user' ELSE role END AS role,
+    CASE crc % 20 WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM o JOIN c USING (s)),
+t AS (SELECT conv_id, turn, role, text FROM d, (VALUES (1), (2)) AS r(copy) WHERE d <> 0 AND (copy = 1 OR d = 3)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS seq,
+    NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+    regexp_matches(text, '[^.!?\\x20\\x09-\\x0D][\\x20\\x09-\\x0D]*\\z') AS cut, role[1] AS first FROM t),
+f AS (SELECT *, blank OR again AS must_go, NOT blank AND NOT again AND cut AS short, lag(first) OVER (PARTITION BY conv_id ORDER BY seq) AS before FROM n),
+a AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (short) AS truncated,
+    count(*) FILTER (before || first NOT IN ('su', 'ua', 'au')) AS illegal,
+    list({{'first': first, 'must_go': must_go, 'cut': CAST(short AS BIGINT), 'role': role, 'text': text}} ORDER BY seq) AS turns FROM f GROUP BY 1),
+w AS (SELECT *, list_reduce(list_transform(list_reverse(turns), lambda x: {{'v': ['', '', '', ''], 'x': x}}),
+    lambda p, e: {{'v': [[{", ".join(insert_step([f"q[{i + 1}]" for i in range(4)]))}] for q in [[{", ".join(repair_step([f"p.v[{i + 1}]" for i in range(4)], "e.x"))}]]][1], 'x': e.x}},
+    {{'v': ['0000000000', '0000000010II', '0000000005I', '0000000000'], 'x': turns[1]}}).v[1] AS best FROM a),
+e AS (SELECT conv_id, unnest(string_split(best[11:], '')) AS edit, generate_subscripts(string_split(best[11:], ''), 1) AS k, turns FROM w WHERE length(best) > 10),
+g AS (SELECT conv_id, edit, k, turns[CAST(sum(CAST(edit <> 'I' AS INT)) OVER x AS BIGINT)] AS x,
+    sum(CAST(edit <> 'D' AS INT)) OVER x AS place FROM e WINDOW x AS (PARTITION BY conv_id ORDER BY k)),
+h AS (SELECT *, max(CASE WHEN place = 1 AND edit = 'K' AND x.first = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS head FROM g WHERE edit <> 'D'),
+r AS (SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN x.role WHEN (place + head) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN edit = 'I' THEN '' ELSE x.text END, chr(10) ORDER BY k)) AS sha FROM h GROUP BY 1)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(CAST(best[:10] AS BIGINT), 0) AS cost, coalesce(best[11:], '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM i.conv_id""",
+    "op12_url_expressions": """
+WITH u AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(rh, rp, said) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+m AS (SELECT DISTINCT host, path, rh || rp AS rule, said, row_number() OVER (PARTITION BY host, path ORDER BY length(rh || rp) DESC, length(rh) DESC) AS k
+  FROM (SELECT DISTINCT host, path FROM u) JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT page_id, u.host, u.path, rule, coalesce(said, 'allow') AS verdict FROM u LEFT JOIN m ON m.host = u.host AND m.path = u.path AND k = 1""",
+    "op13_importance_median_of_medians": f"""
+WITH d AS (SELECT doc_id, {WORDS4.format("text")} AS w FROM documents),
+b AS (SELECT {WORDS4.format("text")} AS w FROM benchmark),
+df AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+bf AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+{CRC32.format("(SELECT f FROM df UNION SELECT f FROM bf)", "f")},
+s AS (SELECT crc % 10000 AS bucket, count(*) AS s FROM df JOIN c ON f = c.s GROUP BY 1),
+t AS (SELECT crc % 10000 AS bucket, count(*) AS t FROM bf JOIN c ON f = c.s GROUP BY 1),
+z AS (SELECT CAST((SELECT count(*) FROM df) AS DOUBLE) AS bs, CAST((SELECT count(*) FROM bf) AS DOUBLE) AS bt),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * (bs + 10000) / ((s + 1) * (bt + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket), z),
+m AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS gain, count(*) AS n FROM df JOIN c ON f = c.s JOIN g ON g.bucket = crc % 10000 GROUP BY 1),
+x AS (SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (gain - ((gain % n) + n) % n) // n ELSE 0 END AS weight,
+  CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || doc_id)[:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS noise FROM d LEFT JOIN m USING (doc_id)),
+o AS (SELECT doc_id, weight + noise AS score, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS k, count(*) OVER () AS n FROM x WHERE n_words >= 20)
+SELECT x.doc_id, x.n_features, weight, weight + noise AS score, CASE WHEN k <= 25 * n // 100 THEN k END AS rank FROM x LEFT JOIN o USING (doc_id)""",
     "op4_winnowing_decontamination": f"""
 WITH d AS (SELECT doc_id, {WORDS4.format("text")} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS4.format("text")} AS w FROM benchmark),

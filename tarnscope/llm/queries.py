@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnscope.llm import chat_format, decontaminate, hidden_markov, html_text, language, near_dedup, neighbours, pieces, secrets, substrings
+from tarnscope.llm import chat_format, chat_repair, decontaminate, hidden_markov, html_text, importance, language, near_dedup, neighbours, pieces, secrets, substrings, url_filters
 from tarnscope.llm.checks import SQL
 from tarnscope.llm.common import bucket_of_id, load
 
@@ -70,6 +70,35 @@ def op10_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_counts(secrets.scan_secrets(load(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """Conversations with faults that follow from the ids of their rows: ``conv_id, turn, role, text, there``."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat_ws(":", blank("conv_id"), blank("turn")).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", blank("role").alias("role"), blank("text").alias("text"), fault.alias("fault"))
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.col("fault") != 0, F.when(F.col("fault") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("there"))
+
+
+def op11_suffix_shared_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair_conversations(damaged_turns(load(spark, sf_dir, "conversations")), present="there")
+
+
+# The rules of the query.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op12_url_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge_urls(load(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def op13_importance_median_of_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return drawn.drop("n_words")
+
+
 def load_queries() -> dict[str, QueryFn]:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
