@@ -115,12 +115,35 @@ def _(spark, sf):
     return mk.grow(wet, ["body"])
 
 
-@query("touched_pixels_10m", "E13 X02 X06", mask_sql(10) + """ SELECT body, "row", col FROM mask WHERE coverage > 1e-9""")
+def edge_cases(spark, sf):
+    """Rectangles that end on grid lines, a hair beyond them, or between them; some lie outside the tile."""
+    s = F.col("s_suppkey")
+    b = load(spark, sf, "supplier").select(
+        s.alias("body"), (X0 + s * 37 % 150 * 10 + F.when(s % 25 == 0, 5000).otherwise(0)).alias("l"), (Y0 - s * 53 % 150 * 10).alias("t"),
+        (20 + s * 13 % 9 * 10 + F.element_at(F.array(F.lit(0.0), F.lit(2e-6), F.lit(3.7)), (s % 3 + 1).cast("int"))).alias("w"), (30 + s * 29 % 7 * 10 + F.when(s % 4 == 3, 4.2).otherwise(0.0)).alias("h"),
+    )
+    pts = box_points(F.col("l"), F.col("t") - F.col("h"), F.col("l") + F.col("w"), F.col("t"))
+    return b.select("body", F.lit(0).alias("part"), F.lit(0).alias("ring"), pts.alias("pts"), F.lit(10.0).alias("resolution"), F.lit(X0).alias("x0"), F.lit(Y0).alias("y0"), F.lit(SIZE).alias("rows"), F.lit(SIZE).alias("cols"))
+
+
+# A closed pixel meets the closed rectangle; what it covers is a hair or nothing where they meet in a line.
+TOUCH = """WITH bodies AS (SELECT s_suppkey AS body, s_suppkey * 37 % 150 * 10 + CASE WHEN s_suppkey % 25 = 0 THEN 5000 ELSE 0 END AS l, s_suppkey * 53 % 150 * 10 AS t,
+  20 + s_suppkey * 13 % 9 * 10 + [0e0, 2e-6, 37e-1][CAST(s_suppkey % 3 AS INT) + 1] AS w, 30 + s_suppkey * 29 % 7 * 10 + CASE WHEN s_suppkey % 4 = 3 THEN 42e-1 ELSE 0e0 END AS h FROM supplier),
+r AS (SELECT *, unnest(range(greatest(0, t // 10 - 1), least(160, CAST(floor((t + h) / 10) AS BIGINT) + 1))) AS "row" FROM bodies),
+p AS (SELECT *, unnest(range(greatest(0, l // 10 - 1), least(160, CAST(floor((l + w) / 10) AS BIGINT) + 1))) AS col FROM r),
+cells AS (SELECT body, "row", col, greatest(0, least(l + w, col * 10 + 10) - greatest(l, col * 10)) * greatest(0, least(t + h, "row" * 10 + 10) - greatest(t, "row" * 10)) / 100 AS c FROM p)"""
+
+
+@query("touched_pixels_10m", "E13 E30", TOUCH + """ SELECT body, "row", col FROM cells""")
 def _(spark, sf):
-    touched = mk.coverage(
-        mk.pixel_edges(gridded(spark, sf), ["body"], ("resolution", "x0", "y0", "rows", "cols")), ["body"]
-    )
-    return touched.where(F.col("coverage") > 1e-9).select("body", "row", "col")
+    return mk.touched_pixels(edge_cases(spark, sf), ["body"])
+
+
+@query("naive_mask_counts_10m", "E12 E13 E16", TOUCH + """ SELECT body, count(c) AS naive, count(c) FILTER (c <= 1e-6) AS naive_only, count(c) FILTER (c > 0 AND c <= 1e-6) AS naive_only_sliver,
+  count(c) FILTER (c = 0) AS naive_only_empty, CAST(0 AS BIGINT) AS classes_only FROM bodies LEFT JOIN cells USING (body) GROUP BY body""")
+def _(spark, sf):
+    rings_in = edge_cases(spark, sf)
+    return mk.naive_counts(mk.touch_cells(rings_in, ["body"]), rings_in, ["body"])
 
 
 @query("polygon_measures", "E04 E05 E06 E07", f"""WITH {BODIES} SELECT body, round(w * h - CASE WHEN hole THEN w * h / 4 ELSE 0 END, 4) AS area,
