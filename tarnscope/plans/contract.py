@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tarnscope.operators import contract as ct
 from tarnscope.plans.registry import load, query
+from tarnscope.streaming import metrics as mt
+from tarnscope.streaming import scenes as sc
 from tarnscope.streaming import streams as st
 
 KEYS = ["user_id", "event_type"]
@@ -161,6 +163,40 @@ def _(spark, sf):
     return st.run_to_table(s, "scenes").withColumn("start", text("start"))
 
 
+@query("stream_scene_states", "S03", f"""WITH RECURSIVE s AS (SELECT user_id, min(ts) AS first FROM events GROUP BY 1
+  UNION ALL SELECT s.user_id, min(e.ts) FROM s JOIN events e ON e.user_id = s.user_id AND e.ts > s.first + INTERVAL 3 DAY GROUP BY s.user_id),
+n AS (SELECT *, lead(first) OVER (PARTITION BY user_id ORDER BY first) AS next FROM s),
+r AS (SELECT n.user_id, n.first, n.next, e.event_type, e.ts FROM n JOIN events e ON e.user_id = n.user_id AND e.ts BETWEEN n.first AND n.first + INTERVAL 3 DAY),
+c AS (SELECT user_id, first, CASE WHEN count(*) = 5 THEN max(seen) END AS done FROM (SELECT user_id, first, event_type, min(ts) AS seen FROM r GROUP BY ALL) GROUP BY ALL)
+SELECT user_id, strftime(first, '%Y-%m-%d %H:%M:%S') AS first, strftime(coalesce(done, first + INTERVAL 3 DAY), '%Y-%m-%d %H:%M:%S') AS last, CAST(count(DISTINCT event_type) AS INTEGER) AS layers, count(*) AS objects, done IS NOT NULL AS complete
+FROM r JOIN c USING (user_id, first) WHERE (done IS NULL OR ts <= done) AND (done IS NOT NULL OR next IS NOT NULL OR first + INTERVAL 3 DAY <= {CLOSED} - INTERVAL 6 HOUR) GROUP BY user_id, first, done""")
+def _(spark, sf):
+    s = sc.scene_states(event_stream(spark, sf), "ts", ["user_id"], "event_type", 5, "3 days", "6 hours")
+    out = st.run_to_table(s, "scene-states")
+    return out.select("user_id", text("first").alias("first"), text("last").alias("last"), "layers", "objects", "complete")
+
+
+SLICES = 6
+
+
+@query("stream_late_rows", "S07 F18", f"""WITH a AS (SELECT *, ts + to_days(CAST(CASE WHEN event_id % 19 = 0 THEN 45 ELSE 0 END AS INTEGER)) AS arrived FROM events),
+e AS (SELECT ts, least(5, CAST(floor(6 * (epoch_us(arrived) - lo) / (hi - lo + 1)) AS BIGINT)) AS batch FROM a, (SELECT min(epoch_us(arrived)) AS lo, max(epoch_us(arrived)) AS hi FROM a)),
+m AS (SELECT batch, max(ts) AS top FROM e GROUP BY 1),
+w AS (SELECT b.batch, date_trunc('milliseconds', max(m.top)) - INTERVAL 3 DAY AS mark FROM m b LEFT JOIN m ON m.batch <= b.batch - 2 GROUP BY 1)
+SELECT batch, count(*) AS rows, count(*) FILTER (ts <= mark) AS dropped, count(*) - count(*) FILTER (ts <= mark) AS kept FROM e JOIN w USING (batch) GROUP BY 1""")
+def _(spark, sf):
+    events = load(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    arrived = F.unix_micros(F.col("ts") + F.make_dt_interval(F.when(F.col("event_id") % 19 == 0, 45).otherwise(0)))
+    low, high = events.agg(F.min(arrived), F.max(arrived)).first()
+    batch = F.least(F.lit(SLICES - 1), F.floor(SLICES * (arrived - low) / (high - low + 1))).cast("long")
+    path = st.land_in_order(events.select("event_id", "ts", batch.alias("slice")), "slice", range(SLICES), files=2)
+    stream = st.landed(spark, path, st.schema_of("event_id long, ts timestamp, slice long"), files_per_trigger=2)
+    # Every row is its own key, so the operator counts rows.
+    kept, late = mt.run_with_late_rows(st.first_seen(stream, ["event_id"], "ts", "3 days"), "late_rows_by_batch")
+    told = kept.groupBy(F.col("slice").alias("batch")).agg(F.count(F.lit(1)).alias("kept"))
+    return late.where("rows > 0").join(told, "batch", "left").select("batch", "rows", "dropped", F.coalesce("kept", F.lit(0)).alias("kept"))
+
+
 @query("stream_latency_bins", "S05 S07", f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, CAST(floor(value / 10) AS BIGINT) AS hour, count(*) AS n FROM events
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= date_trunc('milliseconds', {CLOSED}) - INTERVAL 6 HOUR GROUP BY ALL""")
 def _(spark, sf):

@@ -6,7 +6,7 @@ end of the available data into a parquet table below the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +23,21 @@ def landed(spark: SparkSession, path: str, schema: StructType, fmt: str = "parqu
     return reader.load(path)
 
 
+def schema_of(ddl: str) -> StructType:
+    from pyspark.sql.types import _parse_datatype_string
+
+    return _parse_datatype_string(ddl)
+
+
+def land_in_order(df: DataFrame, part: str, parts: Iterable, files: int) -> str:
+    """Write the rows of each part as ``files`` files, part after part, and return their folder: a stream that
+    takes as many files a trigger reads one part a batch."""
+    path = scratch_path(df.sparkSession, "landed")
+    for value in parts:
+        df.where(F.col(part) == value).repartition(files, F.rand(7)).write.mode("append").parquet(path)
+    return path
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process what is available, then read the written table back."""
     spark = stream.sparkSession
