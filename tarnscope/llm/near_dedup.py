@@ -20,6 +20,8 @@ SHINGLE = 5
 WIDTH = 6
 CHUNKS, CHUNKS_AT = 8, 85
 STAR_ROUNDS = 3
+# Words of 64 bits in a parity sketch.
+SKETCH = 16
 
 
 def chunk_miss(percent: int) -> float:
@@ -145,7 +147,7 @@ def star_pairs(open_keys: DataFrame, turn: int, percent: int) -> DataFrame:
     """Every node of a key with the key's center, where their labels differ. The first center is the
     node with the smallest part of shingles of its own, later ones are chosen by a hash."""
     rank = F.when(F.lit(turn > 0), F.lit(0)).otherwise(F.floor(1000 * F.col("alone") / F.col("n")))
-    center = F.struct(rank.alias("rank"), F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("label"), F.col("n"), F.col("alone"))
+    center = F.struct(rank.alias("rank"), F.xxhash64("node", F.lit(turn)), F.col("node"), F.col("label"), F.col("n"), F.col("alone"), F.col("sketch"))
     rows = open_keys.alias("own").join(open_keys.groupBy("key").agg(F.min(center).alias("center")), "key")
     rows = rows.where((F.col("own.label") != F.col("center.label")) & can_link("own", "center", percent))
     return rows.select(F.least("node", "center.node").alias("a"), F.greatest("node", "center.node").alias("b")).distinct()
@@ -158,22 +160,40 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"node": pa.array(nodes), "shingle": pa.array(np.frombuffer(b"".join(sets), np.int64))})
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parity sketches: a bit tells whether an odd number of a set's shingles fall on it. The exclusive or of
+    two is the sketch of what only one of both sets has, so its bits are at most as many as that."""
+    for batch in batches:
+        out = np.zeros((batch.num_rows, SKETCH * 64), np.uint8)
+        for row, data in zip(out, batch.column("shingles"), strict=True):
+            places = mix(np.frombuffer(data.as_buffer(), np.uint64) ^ np.uint64(13)) % np.uint64(SKETCH * 64)
+            row[:] = np.bincount(places.astype(np.int64), minlength=SKETCH * 64) & 1
+        words = np.packbits(out, axis=1).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, SKETCH), pa.int32()), pa.array(words.ravel()))
+        yield pa.record_batch({"node": batch.column("node"), "sketch": lists})
+
+
 def with_own_shingles(shared: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Keys with the number of shingles of each node and of those that no other node with keys has.
+    """Keys with the number of shingles of each node and of those that no other node with keys has, and
+    with its parity sketch.
 
-    Such shingles are in no intersection, so a node with too many of them can link with nothing.
+    Shingles of one node are in no intersection, so a node with too many of them can link with nothing.
     """
     single = sets.mapInArrow(_shingles, "node long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
     alone = single.where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
     sizes = sets.select("node").join(nodes.select("node", F.col("n_shingles").alias("n")), "node").join(alone, "node", "left")
     sizes = sizes.withColumn("alone", F.coalesce("alone", F.lit(0))).where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
-    return shared.join(sizes, "node").select("key", "node", "n", "alone")
+    sizes = sizes.join(sets.mapInArrow(_sketches, "node long, sketch array<long>"), "node")
+    return shared.join(sizes, "node").select("key", "node", "n", "alone", "sketch")
 
 
 def can_link(a: str, b: str, percent: int) -> Column:
-    """Whether two nodes are similar enough if they share all shingles but those of their own."""
+    """Whether two nodes can be similar enough: if they share all shingles but those of their own, and if no
+    more shingles are in one of both alone than bits of their sketches differ. Neither loses a link."""
     both = F.least(F.col(f"{a}.n") - F.col(f"{a}.alone"), F.col(f"{b}.n") - F.col(f"{b}.alone"))
-    return 100 * both >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n") - both)
+    total = F.col(f"{a}.n") + F.col(f"{b}.n")
+    differ = sum((F.bit_count(F.get(f"{a}.sketch", F.lit(i)).bitwiseXOR(F.get(f"{b}.sketch", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    return (100 * both >= percent * (total - both)) & ((100 + percent) * differ <= (100 - percent) * total)
 
 
 def all_pairs(open_keys: DataFrame, percent: int) -> DataFrame:
@@ -195,7 +215,7 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     Equal sets are one node. Nodes that share a key are compared with the key's center first; nodes
     that this connects need no further comparison, since links reach through the center. What is left
     of a key, nodes not known to be connected, is compared in full, but for pairs that the shingles of
-    one node alone rule out, so no link is lost to a hot key.
+    one node alone or their parity sketches rule out, so no link is lost to a hot key.
 
     Null or empty texts have no shingles and no links. A null id has no component; its row is kept.
     An id that occurs with several texts takes part with each, and each of its rows has the component
@@ -219,7 +239,7 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
         if labels is None:
             labelled = shared.withColumn("label", F.col("node"))
         else:
-            labelled = shared.join(labels, "node", "left").select("key", "node", "n", "alone", F.coalesce("label", "node").alias("label"))
+            labelled = shared.join(labels, "node", "left").select("key", "node", "n", "alone", "sketch", F.coalesce("label", "node").alias("label"))
             unsettled = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
             labelled = written(labelled.join(unsettled, "key"), "open")
         last = turn >= STAR_ROUNDS or idle

@@ -113,3 +113,29 @@ def test_chunks_miss_no_more_pairs_at_other_thresholds(percent):
 def test_op2_keeps_all_but_scripts_and_styles(html, lines):
     nodes, texts = html_text.parse(html)
     assert html_text.blocks(texts, np.ones(len(nodes), bool)) == lines
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sketches_rule_out_no_link(spark, percent):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    sets = []
+    for size in (1, 3, 40, 300, 5_000):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for change in (0.0, 0.05, 0.1, 0.12, 0.2, 0.4):
+            n = int(size * change)
+            sets.append(np.unique(np.concatenate([base[n:], rng.integers(0, 1 << 63, n, dtype=np.uint64)])))
+    batch = pa.record_batch({"node": pa.array(range(len(sets)), pa.int64()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())})
+    sketches = pa.Table.from_batches(near_dedup._sketches(iter([batch]))).to_pylist()
+    rows = spark.createDataFrame([(r["node"], len(sets[r["node"]]), 0, r["sketch"]) for r in sketches], "node long, n long, alone long, sketch array<long>")
+    x, y = rows.alias("x"), rows.alias("y")
+    able = {tuple(r) for r in x.join(y, (F.col("x.node") < F.col("y.node")) & near_dedup.can_link("x", "y", percent)).select("x.node", "y.node").collect()}
+    linked = set()
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                linked.add((i, j))
+    assert linked <= able and len(linked) > 20 and len(able) < 2 * len(linked)
