@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tarnscope.operators import geometry as geo
 from tarnscope.operators import masks as mk
+from tarnscope.operators import store
 from tarnscope.plans.registry import load, query
+from tarnscope.session import scratch_path
 
 X0, Y0, SIZE = 600_000.0, 3_800_000.0, 160
 
@@ -80,6 +82,19 @@ query("mask_pixels_10m", "E10 E11 E12 E33 U06 A10", mask_sql(10) + MASK_ROWS)(la
 query("mask_pixels_20m", "E12 E27 E28 E29", mask_sql(20) + MASK_ROWS)(lambda spark, sf: mask_rows(spark, sf, 20))
 
 
+@query("prepared_masks", "X19 E33 A20", mask_sql(20) + """ SELECT b.body, b.body % 3 <> 0 AS reused, count(m.body) AS pixels
+FROM bodies b LEFT JOIN mask m ON m.body = b.body AND pixel_class IS NOT NULL GROUP BY b.body""")
+def _(spark, sf):
+    """Every third body has moved since the first run: the second computes those alone."""
+    path = scratch_path(spark, "prepared")
+    now = gridded(spark, sf, 20)
+    earlier = now.withColumn("pts", F.when(F.col("body") % 3 == 0, F.transform("pts", lambda p: F.struct((p.x + 10).alias("x"), p.y.alias("y")))).otherwise(F.col("pts")))
+    store.prepare_masks(earlier, ["body"], path, resolution=20.0)
+    pixels, told = store.prepare_masks(now, ["body"], path, resolution=20.0)
+    counts = pixels.groupBy("body").agg(F.count(F.lit(1)).alias("pixels"))
+    return told.join(counts, "body", "left").select("body", "reused", F.coalesce("pixels", F.lit(0)).alias("pixels"))
+
+
 @query("exact_coverage_10m", "E10", mask_sql(10) + """ SELECT body, "row", col, round(coverage + 1e-8, 6) AS coverage FROM mask WHERE coverage > 1e-6""")
 def _(spark, sf):
     edges = mk.pixel_edges(gridded(spark, sf), ["body"], ("resolution", "x0", "y0", "rows", "cols"))

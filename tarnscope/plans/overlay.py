@@ -117,3 +117,33 @@ def _(spark, sf):
     shares = shares.withColumns({"same_zone": F.col("zone") == F.col("body") % 2, "share": F.round("share", 6)})
     roles = assign_primary_tile(shares, "body", "tile", "same_zone", "share")
     return roles.select("body", "tile", F.round(F.col("share") + 1e-8, 5).alias("buffered_share"), "role")
+
+
+def plots(spark, sf):
+    """A rectangle in degrees per customer; every seventh is drawn crosswise and so crosses itself."""
+    c = F.col("c_custkey")
+    rows = load(spark, sf, "customer").select(
+        c.alias("body"), ((c * 977 % 30000) / 100.0 - 150).alias("l"), ((c * 613 % 10000) / 100.0 - 50).alias("b"), (0.01 + c % 9 * 0.004).alias("w"), (0.008 + c % 5 * 0.003).alias("h"),
+        F.lit(0).alias("part"), F.lit(0).alias("ring"),
+    )
+    l, b, w, h = (F.col(k) for k in "lbwh")
+    corners = [(l, b), (l + w, b), (l + w, b + h), (l, b + h)]
+    plain, crossed = ring_of(*corners, corners[0]), ring_of(corners[0], corners[2], corners[1], corners[3], corners[0])
+    from tarnscope.functions.scalars import utm_epsg
+
+    return rows.select("body", "part", "ring", F.when(F.col("body") % 7 == 0, crossed).otherwise(plain).alias("pts"), utm_epsg(l + w / 2, b).cast("bigint").alias("epsg"))
+
+
+PLOTS = """WITH plots AS (SELECT c_custkey AS body, (c_custkey * 977 % 30000) / 1e2 - 150 AS l, (c_custkey * 613 % 10000) / 1e2 - 50 AS b, 1e-2 + c_custkey % 9 * 4e-3 AS w, 8e-3 + c_custkey % 5 * 3e-3 AS h FROM customer)"""
+
+
+@query("crossed_polygons", "E02 E04", PLOTS + """ SELECT body, CAST(CASE WHEN body % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS crossings,
+  CAST(2 * (ceil(CASE WHEN body % 7 = 0 THEN sqrt(w * w + h * h) ELSE w END / 23e-4) + ceil(h / 23e-4)) AS BIGINT) AS pieces,
+  CASE WHEN body % 7 = 0 THEN 0e0 ELSE round(w * h * pow(6371008.8 * pi() / 180, 2) * cos(radians(b + h / 2)), 1) END AS area_m2 FROM plots""")
+def _(spark, sf):
+    rings = plots(spark, sf)
+    whole = ov.projected_edges(rings, ["body"], "epsg", 1.0)
+    crossed = ov.crossed_edges(whole, ["body"], 250.0)
+    pieces = ov.projected_edges(rings, ["body"], "epsg", 0.0023).groupBy("body").agg(F.count_if(F.col("x1").isNotNull() & F.col("y2").isNotNull()).alias("pieces"))
+    areas = ov.plane_areas(rings, ["body"]).join(pieces, "body").join(crossed, "body", "left")
+    return areas.select("body", F.coalesce("crossings", F.lit(0)).alias("crossings"), "pieces", (F.round("area_m2", 1) + 0.0).alias("area_m2"))
