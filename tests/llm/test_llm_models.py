@@ -154,6 +154,56 @@ def test_scores_of_texts(spark, odd_dir, head, monkeypatch):
         assert row["score"] < 0
 
 
+def test_where_emissions_lie_changes_no_score(spark, odd_dir, monkeypatch):
+    monkeypatch.setattr(hidden_markov, "COMMON", 5)
+    scores = []
+    for head in (50_000, 40):
+        monkeypatch.setattr(hidden_markov, "HEAD", head)
+        scores.append(sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in RUN["op6_hidden_markov_scores"](spark, odd_dir).collect()))
+    for a, b in zip(*scores, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-6)
+
+
+def test_every_word_has_emissions_of_its_own(spark, monkeypatch):
+    """Two kinds of texts over 600 words with 20 in the head: after training, most words prefer a state."""
+    monkeypatch.setattr(hidden_markov, "HEAD", 20)
+    rng = np.random.default_rng(5)
+    words = [[f"{kind}{i}" for i in range(300)] for kind in "xy"]
+    texts = [(i, " ".join(rng.choice(words[i % 2], 80))) for i in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t in texts] + [(1_000, "x1 x2 x3 x4 x5 x6 x7 x8"), (1_001, "x1 y2 x3 y4 x5 y6 x7 y8")], "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    got = {r["doc_id"]: r for r in hidden_markov.score_texts(docs, held_out=F.col("doc_id") >= 1_000).collect()}
+    assert got[1_000]["score"] > got[1_001]["score"] + 1 and got[1_000]["n_known"] == 9
+
+
+def test_whole_texts_are_run_through(monkeypatch):
+    """Expected counts of a text of 1,000 tokens beside short ones, by plain recursions without scaling."""
+    rng = np.random.default_rng(9)
+    model = tiny_model()
+    texts = [rng.integers(0, 5, n).astype(np.uint16) for n in (1_000, 3, 1, 40)]
+    monkeypatch.setattr(hidden_markov, "TOGETHER", 50)
+    starts, moves, emits = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
+    for x in texts:
+        log = lambda a: np.log(a)
+        forward = [log(model.start) + log(model.emit[x[0]])]
+        for w in x[1:]:
+            forward.append(np.logaddexp.reduce(forward[-1][:, None] + log(model.move), axis=0) + log(model.emit[w]))
+        back = [np.zeros(3)]
+        for w in x[:0:-1]:
+            back.append(np.logaddexp.reduce(log(model.move) + log(model.emit[w])[None, :] + back[-1][None, :], axis=1))
+        back = back[::-1]
+        whole = np.logaddexp.reduce(forward[-1])
+        for t, w in enumerate(x):
+            own = np.exp(forward[t] + back[t] - whole)
+            emits[w] += own
+            starts += own if t == 0 else 0
+            if t:
+                moves += np.exp(forward[t - 1][:, None] + log(model.move) + (log(model.emit[w]) + back[t])[None, :] - whole)
+    for mine, want in zip(hidden_markov.expected_counts(model, texts), (starts, moves, emits), strict=True):
+        assert mine == pytest.approx(want, rel=1e-8)
+
+
 def test_model_is_better_than_single_words_on_held_out_texts(spark):
     got = RUN["op6_hidden_markov_scores"](spark, SF).toPandas()
     held = got[got.held_out]
