@@ -94,3 +94,53 @@ def support_coverage(pixels: DataFrame, tiles: DataFrame, cell: float) -> DataFr
         F.count(F.lit(1)).alias("support"), uncovered.alias("uncovered"), F.count_if(F.col("_n") > 1).alias("overlap"),
         rounded(uncovered / F.count(F.lit(1)), 6).alias("uncovered_share"),
     )
+
+
+def serve_bands(
+    revisions: DataFrame, bodies: DataFrame, body: str, *, period: tuple[Column, Column], time: str, family: str, families: Sequence[str], band: str, bands: Sequence[str],
+    resolution: str, resolutions: Sequence[int] = (), order: Sequence[str], values: Sequence[str], provenance: Sequence[str], cutoff: Column,
+) -> tuple[DataFrame, DataFrame]:
+    """The contract's read: the latest values by body, family and band as of a cutoff, each with where it
+    comes from, and the account of the read.
+
+    The account has a row per body and family asked for: how many bands were expected, present and missing,
+    and which. A body without any value has a row too. No resolution named means all of them.
+    """
+    keys = [body, family, band, resolution]
+    wanted = bodies.select(body).distinct()
+    named = F.col(band).isin(*bands) & F.col(family).isin(*families)
+    if resolutions:
+        named = named & F.col(resolution).isin(*resolutions)
+    rows = revisions.where((F.col(time) >= period[0]) & (F.col(time) < period[1]) & named).join(wanted, body, "left_semi")
+    served = as_of(rows, keys, order, [*values, *provenance], cutoff)
+    expected = wanted.withColumn(family, F.explode(F.array(*map(F.lit, families)))).withColumn(band, F.explode(F.array(*map(F.lit, bands))))
+    have = served.select(body, family, band).distinct().withColumn("_have", F.lit(True))
+    account = expected.join(have, [body, family, band], "left").groupBy(body, family).agg(
+        F.count(F.lit(1)).alias("expected"), F.count("_have").alias("present"), F.count_if(F.col("_have").isNull()).alias("missing"),
+        F.array_sort(F.collect_set(F.when(F.col("_have").isNull(), F.col(band)))).alias("missing_bands"),
+    )
+    return served, account
+
+
+def in_primary_tile(valid: DataFrame, primary: DataFrame, body: str, tile: str) -> DataFrame:
+    """Valid rows that lie in the primary tile of their body; what other tiles saw makes no date valid."""
+    return valid.join(primary.select(body, tile).distinct(), [body, tile], "left_semi")
+
+
+def shared_month_rates(first: DataFrame, second: DataFrame, first_months: DataFrame, second_months: DataFrame, tile: str, month: str) -> DataFrame:
+    """Acquisitions of two products per tile, over the months that both surveys listed.
+
+    ``first_months`` and ``second_months`` say which months of a tile each survey holds; one without any
+    acquisition counts as zero, one that either survey lacks does not count at all.
+    """
+    keys = [tile, month]
+    spine = first_months.select(*keys).distinct().join(second_months.select(*keys).distinct(), keys)
+    tagged = spine.select(*keys, F.lit(0).alias("_a"), F.lit(0).alias("_b"), F.lit(1).alias("_s"))
+    for rows, a, b in ((first, 1, 0), (second, 0, 1)):
+        tagged = tagged.unionByName(rows.select(*keys, F.lit(a).alias("_a"), F.lit(b).alias("_b"), F.lit(0).alias("_s")))
+    per_month = tagged.groupBy(*keys).agg(F.sum("_a").alias("a"), F.sum("_b").alias("b"), F.max("_s").alias("_s")).where("_s = 1")
+    n = F.count(F.lit(1))
+    return per_month.groupBy(tile).agg(
+        n.alias("months"), F.sum("a").alias("first"), F.sum("b").alias("second"), (F.sum("a") * 12 / n).alias("first_per_year"), (F.sum("b") * 12 / n).alias("second_per_year"),
+        F.try_divide(F.max("a"), F.sum("a") / n).alias("first_peak"), F.try_divide(F.max("b"), F.sum("b") / n).alias("second_peak"),
+    )

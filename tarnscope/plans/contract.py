@@ -65,6 +65,41 @@ def _(spark, sf):
     return out.drop("available_at")
 
 
+BAND_OF = F.element_at(F.array(F.lit("red"), F.lit("nir"), F.lit("scl")), (F.col("event_id") % 3 + 1).cast("int"))
+
+
+def served_with_bands(spark, sf):
+    events = load(spark, sf, "events")
+    rows = events.select(
+        "user_id", "event_type", F.col("ts").alias("available_at"), F.col("event_id").alias("revision"), F.floor(F.col("value") * 100).alias("dn"), BAND_OF.alias("band"),
+        F.when(F.col("event_id") % 3 == 2, 20).otherwise(10).alias("resolution"), F.concat(F.lit("item-"), F.col("event_id") % 97).alias("source"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("published"),
+    )
+    bodies = load(spark, sf, "customer").where("c_mktsegment IN ('BUILDING', 'MACHINERY')").select(F.col("c_custkey").alias("user_id"))
+    return ct.serve_bands(
+        rows, bodies, "user_id", period=(stamp("2024-01-03"), stamp("2024-01-28")), time="available_at", family="event_type", families=["click", "view"], band="band", bands=["red", "scl"],
+        resolution="resolution", order=["available_at", "revision"], values=["dn"], provenance=["source", "published"], cutoff=stamp("2024-01-22"),
+    )
+
+
+SERVED = """WITH asked AS (SELECT c_custkey AS user_id FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
+r AS (SELECT *, ['red', 'nir', 'scl'][CAST(event_id % 3 AS INT) + 1] AS band, CASE WHEN event_id % 3 = 2 THEN 20 ELSE 10 END AS resolution FROM events
+  WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-28' AND ts <= TIMESTAMP '2024-01-22' AND event_type IN ('click', 'view') AND event_id % 3 <> 1 AND user_id IN (SELECT user_id FROM asked)),
+last AS (SELECT user_id, event_type, band, resolution, max((ts, event_id))[2] AS revision, count(*) AS revisions FROM r GROUP BY ALL)"""
+
+
+@query("served_bands", "T07 T04", SERVED + """ SELECT l.user_id, l.event_type, l.band, l.resolution, revision, CAST(floor(value * 100) AS BIGINT) AS dn, 'item-' || (event_id % 97) AS source, strftime(ts, '%Y-%m-%d %H:%M:%S') AS published, revisions
+FROM last l JOIN events ON event_id = revision""")
+def _(spark, sf):
+    return served_with_bands(spark, sf)[0].drop("available_at")
+
+
+@query("served_accounts", "T07 T08", SERVED + """, want AS (SELECT user_id, event_type, band FROM asked, (VALUES ('click'), ('view')) f(event_type), (VALUES ('red'), ('scl')) b(band))
+SELECT user_id, event_type, count(*) AS expected, count(revision) AS present, count(*) - count(revision) AS missing, coalesce(string_agg(band, ',' ORDER BY band) FILTER (revision IS NULL), '') AS missing_bands
+FROM want LEFT JOIN last USING (user_id, event_type, band) GROUP BY ALL""")
+def _(spark, sf):
+    return served_with_bands(spark, sf)[1].withColumn("missing_bands", F.array_join("missing_bands", ","))
+
+
 SPINE = """WITH days AS (SELECT CAST(unnest(generate_series((SELECT min(ts)::DATE FROM events), (SELECT max(ts)::DATE FROM events), INTERVAL 1 DAY))::DATE AS VARCHAR) AS day), users AS (SELECT DISTINCT user_id FROM events),
 want AS (SELECT user_id, day FROM users, days), have AS (SELECT DISTINCT user_id, CAST(ts::DATE AS VARCHAR) AS day FROM events WHERE event_type = 'purchase')"""
 
@@ -92,6 +127,40 @@ def _(spark, sf):
     return ct.missing_dates(day_spine(spark, sf), valid, ["user_id"], "day")
 
 
+@query("family_period_accounting", "T08", SPINE + """, fam AS (SELECT user_id, day, f.event_type, strftime(date_trunc('week', day::DATE), '%Y-%m-%d') AS period FROM want, (VALUES ('click'), ('purchase')) f(event_type)),
+seen AS (SELECT DISTINCT user_id, event_type, CAST(ts::DATE AS VARCHAR) AS day FROM events)
+SELECT w.user_id, w.event_type, w.period, count(*) AS expected, count(h.day) AS present, count(*) - count(h.day) AS missing, CAST(0 AS BIGINT) AS unexpected,
+  min(CASE WHEN h.day IS NULL THEN CASE WHEN w.user_id % 3 = 0 THEN 'no_data' ELSE 'not_delivered' END END) AS first_reason, count(*) FILTER (h.day IS NULL AND w.user_id % 3 <> 0) AS not_delivered
+FROM fam w LEFT JOIN seen h USING (user_id, event_type, day) GROUP BY ALL""")
+def _(spark, sf):
+    families = F.array(F.lit("click"), F.lit("purchase"))
+    period = F.date_format(F.date_trunc("week", F.to_date("day")), "yyyy-MM-dd").alias("period")
+    expected = day_spine(spark, sf).withColumn("event_type", F.explode(families)).select("user_id", "event_type", "day", period)
+    present = revisions(spark, sf).where(F.col("event_type").isin("click", "purchase")).select("user_id", "event_type", "day", period)
+    reason = F.when(F.col("user_id") % 3 == 0, "no_data").otherwise("not_delivered")
+    return ct.account(expected, present, ["user_id", "event_type", "period", "day"], ["user_id", "event_type", "period"], reason)
+
+
+@query("missing_dates_of_primary_tile", "T02", SPINE + """, own AS (SELECT DISTINCT user_id, CAST(ts::DATE AS VARCHAR) AS day FROM events WHERE event_type = 'purchase' AND event_id % 3 = user_id % 3)
+SELECT w.user_id, count(*) AS missing_dates, min(w.day) AS first, max(w.day) AS last FROM want w LEFT JOIN own h USING (user_id, day) WHERE h.day IS NULL GROUP BY ALL""")
+def _(spark, sf):
+    valid = revisions(spark, sf).where("event_type = 'purchase'").withColumn("tile", F.col("revision") % 3)
+    primary = load(spark, sf, "events").select("user_id", (F.col("user_id") % 3).alias("tile")).distinct()
+    return ct.missing_dates(day_spine(spark, sf), ct.in_primary_tile(valid, primary, "user_id", "tile"), ["user_id"], "day")
+
+
+@query("shared_month_rates", "K09 K08", """WITH a AS (SELECT o_custkey % 25 AS tile, strftime(o_orderdate, '%Y-%m') AS month, o_orderstatus AS st, month(o_orderdate) AS m FROM orders),
+spine AS (SELECT DISTINCT tile, month FROM a WHERE (tile + m) % 5 <> 0 AND (tile * 3 + m) % 7 <> 0),
+n AS (SELECT tile, month, count(*) FILTER (st = 'O') AS a, count(*) FILTER (st = 'F') AS b FROM spine JOIN a USING (tile, month) GROUP BY ALL)
+SELECT tile, count(*) AS months, CAST(sum(a) AS BIGINT) AS first, CAST(sum(b) AS BIGINT) AS second, round(sum(a) * 12 / count(*), 6) AS first_per_year, round(sum(b) * 12 / count(*), 6) AS second_per_year,
+  round(max(a) / nullif(sum(a) / count(*), 0), 6) AS first_peak, round(max(b) / nullif(sum(b) / count(*), 0), 6) AS second_peak FROM n GROUP BY tile""")
+def _(spark, sf):
+    rows = load(spark, sf, "orders").select((F.col("o_custkey") % 25).alias("tile"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderstatus").alias("st"), F.month("o_orderdate").alias("m"))
+    listed = rows.where((F.col("tile") + F.col("m")) % 5 != 0), rows.where((F.col("tile") * 3 + F.col("m")) % 7 != 0)
+    out = ct.shared_month_rates(rows.where("st = 'O'"), rows.where("st = 'F'"), *listed, "tile", "month")
+    return out.select("tile", "months", "first", "second", *[F.round(c, 6).alias(c) for c in ("first_per_year", "second_per_year", "first_peak", "second_peak")])
+
+
 @query("mask_reasons", "T10 T09", """WITH e AS (SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 0 ELSE event_id % 900 END AS dn, event_type <> 'error' AS delivered, user_id % 9 <> 0 AS in_tile, CASE WHEN event_id % 4 <> 0 THEN event_id % 5 <> 0 END AS j FROM events)
 SELECT coalesce(CASE WHEN NOT delivered THEN 'not_delivered' WHEN NOT in_tile THEN 'outside_tile' WHEN dn = 0 AND coalesce(j, FALSE) THEN 'processor_masked' WHEN dn = 0 THEN 'no_data' END, 'value') AS reason,
   count(*) AS n, round(sum(CASE WHEN delivered AND in_tile AND dn <> 0 THEN dn * 1e-4 - 1e-1 END), 4) AS reflectance_sum FROM e GROUP BY ALL""")
