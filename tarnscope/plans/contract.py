@@ -65,13 +65,11 @@ def _(spark, sf):
     return out.drop("available_at")
 
 
-BAND_OF = F.element_at(F.array(F.lit("red"), F.lit("nir"), F.lit("scl")), (F.col("event_id") % 3 + 1).cast("int"))
-
-
 def served_with_bands(spark, sf):
     events = load(spark, sf, "events")
+    band = F.element_at(F.array(F.lit("red"), F.lit("nir"), F.lit("scl")), (F.col("event_id") % 3 + 1).cast("int"))
     rows = events.select(
-        "user_id", "event_type", F.col("ts").alias("available_at"), F.col("event_id").alias("revision"), F.floor(F.col("value") * 100).alias("dn"), BAND_OF.alias("band"),
+        "user_id", "event_type", F.col("ts").alias("available_at"), F.col("event_id").alias("revision"), F.floor(F.col("value") * 100).alias("dn"), band.alias("band"),
         F.when(F.col("event_id") % 3 == 2, 20).otherwise(10).alias("resolution"), F.concat(F.lit("item-"), F.col("event_id") % 97).alias("source"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("published"),
     )
     bodies = load(spark, sf, "customer").where("c_mktsegment IN ('BUILDING', 'MACHINERY')").select(F.col("c_custkey").alias("user_id"))
