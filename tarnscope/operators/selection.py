@@ -51,3 +51,30 @@ def with_center(bodies: DataFrame, rings: DataFrame, keys: Sequence[str], area:
     valid = sums.where(F.col("_a") != 0)
     center = valid.select(*keys, (F.col("_x") / (F.col("_a") * 3)).alias("center_x"), (F.col("_y") / (F.col("_a") * 3)).alias("center_y"))
     return bodies.join(center, list(keys)).withColumn("area_band", area_band(area))
+
+
+def strata(points: DataFrame, x: str, y: str, box: tuple[float, float, float, float], columns: int, rows: int) -> DataFrame:
+    """Points inside a half-open box with their ``stratum``, numbered column by column."""
+    west, south, east, north = box
+    column = F.floor((F.col(x) - west) * columns / (east - west))
+    row = F.floor((F.col(y) - south) * rows / (north - south))
+    return points.where(inside_box(x, y, box)).withColumn("stratum", (column * rows + row).cast("int"))
+
+
+def hashed_per_stratum(points: DataFrame, keys: Sequence[str], rank: Column, source_id: str, limit: int) -> DataFrame:
+    """The first ids of every stratum in a fixed hash order, with their ``place`` from 1. A task keeps no more of
+    a stratum than the limit before anything is shuffled."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(*keys).orderBy("_rank", source_id)
+    return points.withColumn("_rank", rank).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("_rank")
+
+
+def nearest_by_band(points: DataFrame, band: str, quotas: dict[str, int], distance: Column, ties: Sequence[str]) -> DataFrame:
+    """The points of each band that are nearest, as many as its quota: one bounded top list a band."""
+    measured = points.withColumn("distance", distance)
+    parts = [measured.where(F.col(band) == name).orderBy("distance", *ties).limit(n) for name, n in sorted(quotas.items()) if n]
+    out = parts[0] if parts else measured.limit(0)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
