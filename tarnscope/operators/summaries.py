@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnscope.operators.quantiles import linear
+
 
 def spread_of_runs(runs: DataFrame, keys: Sequence[str], status: str, values: Sequence[str]) -> DataFrame:
     """Clean and excluded runs per key, with median, minimum and maximum of the clean ones. The
@@ -22,9 +26,20 @@ def medians_of_sums(bands: DataFrame, run: Sequence[str], keys: Sequence[str], v
     return per_run.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"), *[F.median(v).alias(v) for v in values])
 
 
-def medians_by_class(medians: DataFrame, size_class: str, values: Sequence[str]) -> DataFrame:
+def with_medians(groups: DataFrame, rows: DataFrame, keys: Sequence[str], values: dict[str, str], bucket: float) -> DataFrame:
+    """``groups`` with the exact medians of ``values`` (column to result) of their rows. Few groups hold all rows,
+    so the medians come from counts by bucket, not from the values of one group in one buffer."""
+    for value, name in values.items():
+        found = linear(rows, keys, value, {"_m": 0.5}, bucket).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_m").alias(name))
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+        groups = groups.join(found, same, "left").drop(*[f"_{k}" for k in keys])
+    return groups
+
+
+def medians_by_class(medians: DataFrame, size_class: str, values: Sequence[str], bucket: float = 64.0) -> DataFrame:
     """Second level: the median over bodies of a class of their own medians."""
-    return medians.groupBy(size_class).agg(F.count(F.lit(1)).alias("bodies"), *[F.median(v).alias(v) for v in values])
+    counts = medians.groupBy(size_class).agg(F.count(F.lit(1)).alias("bodies"))
+    return with_medians(counts, medians, [size_class], {v: v for v in values}, bucket)
 
 
 def baseline_sums(wanted: DataFrame, baseline: DataFrame, item: str, body: str, values: Sequence[str]) -> DataFrame:
@@ -51,13 +66,14 @@ def payload_density(scenes: DataFrame, keys: Sequence[str], layers: str, native:
     return scenes.groupBy(*keys).agg(agree.alias("layers_agree"), (F.sum(native) / F.sum(area_km2)).alias("bytes_per_km2"))
 
 
-def transfer_estimate(plan: DataFrame, measured: DataFrame, keys: Sequence[str], members: str, per_member: str, settings: str) -> DataFrame:
+def transfer_estimate(plan: DataFrame, measured: DataFrame, keys: Sequence[str], members: str, per_member: str, settings: str, bucket: float = 256.0) -> DataFrame:
     """Bytes of a new plan: its memberships times the measured bytes of one. A configuration measured
     under other settings is refused with the reason in the row."""
     seen = measured.groupBy(*keys).agg(
-        F.median(per_member).alias("_median"), F.min(per_member).alias("_min"), F.max(per_member).alias("_max"),
+        F.min(per_member).alias("_min"), F.max(per_member).alias("_max"),
         F.min(settings).alias("_low"), F.max(settings).alias("_high"),
     )
+    seen = with_medians(seen, measured, keys, {per_member: "_median"}, bucket)
     joined = plan.join(seen, list(keys), "left")
     reason = (
         F.when(F.col("_low").isNull(), "not measured")

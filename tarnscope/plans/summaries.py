@@ -53,8 +53,9 @@ def _(spark, sf):
 FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL""")
 def _(spark, sf):
     p = load(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.floor(F.col("p_size") / 10).cast("int").alias("size_class"))
-    m = load(spark, sf, "lineitem").join(p, "l_partkey").groupBy("size_class", (F.col("l_linenumber") % 3).alias("resolution"))
-    return m.agg(F.count(F.lit(1)).alias("masks"), F.median("l_quantity").alias("pixels"), F.max("l_quantity").alias("most"))
+    m = load(spark, sf, "lineitem").join(p, "l_partkey").select("size_class", (F.col("l_linenumber") % 3).alias("resolution"), "l_quantity")
+    counts = m.groupBy("size_class", "resolution").agg(F.count(F.lit(1)).alias("masks"), F.max("l_quantity").alias("most"))
+    return sm.with_medians(counts, m, ["size_class", "resolution"], {"l_quantity": "pixels"}, 8.0)
 
 
 @query("run_status_counts", "F52 V22", RUNS + """ SELECT s_suppkey AS tile, coalesce(count(status), 0) AS runs, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'band_errors') AS band_errors,
