@@ -119,6 +119,19 @@ def test_correlation_is_null_without_variance(spark):
     assert row.pearson_r is None and row.verdict == "agree"
 
 
+def test_moments_of_large_close_values_do_not_cancel(spark):
+    from fractions import Fraction
+
+    rows = [(10**8 + i % 7, 10**8 + i % 7 + i % 3 / 4) for i in range(500)]
+    row = pixels.describe_pairs(spark.createDataFrame(rows, "a long, s double").agg(*pixels.paired_sums("a", "s"))).first()
+    x, y = ([Fraction(v) for v in column] for column in zip(*rows, strict=True))
+    n, mean = len(rows), lambda v: sum(v) / len(v)
+    cov = mean([a * b for a, b in zip(x, y, strict=True)]) - mean(x) * mean(y)
+    spread = [float(mean([a * a for a in v]) - mean(v) ** 2) for v in (x, y)]
+    assert row.n == n and row.pearson_r == pytest.approx(round(float(cov) / (spread[0] * spread[1]) ** 0.5, 4))
+    assert row.mean_difference == pytest.approx(round(float(mean(x) - mean(y)), 2), abs=0.006) and row.rms == pytest.approx(float(mean([(a - b) ** 2 for a, b in zip(x, y, strict=True)])) ** 0.5, abs=0.006)
+
+
 def test_pairing_prefers_the_latest_created(spark):
     items = spark.createDataFrame([("s", "2024-01-01", "i1"), ("s", None, "i9"), ("s", "2024-02-01", "i2")], "s string, created string, item string")
     row = pairing.latest_created(items, ["s"], created="created", item="item").first()
