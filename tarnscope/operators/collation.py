@@ -61,11 +61,11 @@ def configuration_status(configurations: DataFrame, attempts: DataFrame, results
     rows = configurations.select("configuration").distinct().join(tried, "configuration", "left").join(found, "configuration", "left")
     whole = F.coalesce(F.col("_ended") & (F.col("_rows") == F.col("_want")) & (F.col("_n") == 1), F.lit(False))
     rows = rows.withColumn("_whole", whole)
-    complete = rows.where("_whole").agg(F.count(F.lit(1)).alias("_complete"), F.count_distinct("_s").alias("_kinds"))
-    # One row, so that the status needs no window over all configurations.
-    rows = rows.withColumn("_all", F.lit(1)).join(F.broadcast(complete.withColumn("_all", F.lit(1))), "_all")
-    status = F.when(F.col("_ended").isNull(), "not_attempted").when(~F.col("_whole"), "incomplete").when(F.col("_kinds") > 1, "differs").otherwise("complete")
-    return rows.select("configuration", status.alias("status"), F.when(F.col("_whole"), (F.col("_complete") >= 2) & (F.col("_kinds") == 1)).alias("matches_all"))
+    # One row as a value, so that the status needs no window over all configurations.
+    complete = rows.where("_whole").agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_distinct("_s").alias("kinds")).alias("_c")).scalar()
+    rows = rows.withColumn("_c", complete)
+    status = F.when(F.col("_ended").isNull(), "not_attempted").when(~F.col("_whole"), "incomplete").when(F.col("_c.kinds") > 1, "differs").otherwise("complete")
+    return rows.select("configuration", status.alias("status"), F.when(F.col("_whole"), (F.col("_c.n") >= 2) & (F.col("_c.kinds") == 1)).alias("matches_all"))
 
 
 def stage_levels(rows: DataFrame, levels: Sequence[Sequence[str]], checks: Sequence[str]) -> DataFrame:
