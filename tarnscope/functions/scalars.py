@@ -111,6 +111,12 @@ def rounded(value: Column, digits: int) -> Column:
     return F.rint(value * scale) / scale
 
 
+def rounded_away(value: Column, digits: int) -> Column:
+    """Round half away from zero on the scaled binary value, not on the decimal text as the built-in round."""
+    scale = F.lit(float(10**digits))
+    return F.signum(value) * F.floor(F.abs(value * scale) + 0.5) / scale
+
+
 def share(part: Column, whole: Column, digits: int = 6) -> Column:
     """Rounded ratio, null for a missing part or an empty whole."""
     return rounded(F.try_divide(part, F.nullif(whole, F.lit(0))), digits)
@@ -207,4 +213,5 @@ def usable_class(scl: Column, nodata: Column) -> Column:
 
 def normalized_difference(a: Column, b: Column) -> Column:
     """(a - b) / (a + b) clipped to -1..1, null where the sum is zero."""
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(a - b, a + b)))
+    # least and greatest leave nulls out, so the null has to be kept apart.
+    return F.when(a + b != 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(a - b, a + b))))

@@ -291,5 +291,5 @@ def _(spark, sf):
         F.array_join(sc.rotated(F.array(F.lit("x"), F.lit("y"), F.lit("z")), n.cast("int")), "").alias("rotated"),
         sc.utm_epsg(F.col("a") % 360 - 180, F.when(F.col("b") % 2 == 0, 1).otherwise(-1)).cast("bigint").alias("epsg"),
         F.round(sc.reflectance(g, F.lit(0.0001), F.lit(-0.1)), 6).alias("reflectance"),
-        F.round(sc.normalized_difference(g, r), 6).alias("difference_index"),
+        sc.rounded_away(sc.normalized_difference(g, r), 6).alias("difference_index"),
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarnscope.functions import scalars as sc
 from tarnscope.operators import overlay as ov
 from tarnscope.operators.geometry import spread
 from tarnscope.plans import geometry as pg
@@ -45,3 +46,9 @@ def test_covered_area_counts_overlaps_once(spark):
     rows = [(1, 0, 0.0, 4.0), (1, 0, 1.0, 2.0), (1, 0, 3.0, 6.0), (1, 0, 8.0, 9.0), (1, 1, 0.0, 1.0), (2, 0, 0.0, 1.0), (2, 0, 0.0, 1.0)]
     spans = spark.createDataFrame(rows, "body long, line long, x0 double, x1 double")
     assert {r.body: r.area for r in ov.covered_area(spans, ["body"], 0.5).collect()} == {1: 4.0, 2: 0.5}
+
+
+def test_difference_index_rounds_as_its_sql_and_keeps_an_empty_sum(spark):
+    rows = spark.createDataFrame([(973, 307), (963, 317), (681, 599), (307, 973), (0, 0), (5, 0)], "g long, r long")
+    found = rows.select(sc.rounded_away(sc.normalized_difference(F.col("g"), F.col("r")), 6).alias("d")).collect()
+    assert [r.d for r in found] == [0.520312, 0.504687, 0.064062, -0.520312, None, 1.0]
