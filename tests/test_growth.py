@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnscope.functions import scalars as sc
+from tarnscope.llm import chat_repair
 from tarnscope.operators import overlay as ov
 from tarnscope.operators.geometry import spread
 from tarnscope.plans import geometry as pg
@@ -52,3 +53,12 @@ def test_difference_index_rounds_as_its_sql_and_keeps_an_empty_sum(spark):
     rows = spark.createDataFrame([(973, 307), (963, 317), (681, 599), (307, 973), (0, 0), (5, 0)], "g long, r long")
     found = rows.select(sc.rounded_away(sc.normalized_difference(F.col("g"), F.col("r")), 6).alias("d")).collect()
     assert [r.d for r in found] == [0.520312, 0.504687, 0.064062, -0.520312, None, 1.0]
+
+
+def test_of_equal_rows_in_one_turn_the_first_is_kept(spark):
+    rows = [(c, t, role, f"{role} {t}.", True) for c in range(300) for t, role in enumerate(("user", "assistant") * 8) for _ in range(2 + c % 2)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, there boolean").repartition(7)
+    signed = chat_repair.signed_conversations(turns.select(F.col("conv_id").alias("conv"), "turn", "role", "text", F.md5("text").alias("digest"), F.col("there").alias("present")))
+    assert "again#" in [s for s in signed._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in s and "lag(" in s][0].split("digest#")[-1]
+    found = chat_repair.repair_conversations(turns, present="there").collect()
+    assert {r.audit for r in found if r.conv_id % 2 == 0} == {"KD" * 16} and {r.audit for r in found if r.conv_id % 2} == {"KDD" * 16}
