@@ -62,3 +62,10 @@ def test_of_equal_rows_in_one_turn_the_first_is_kept(spark):
     assert "again#" in [s for s in signed._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in s and "lag(" in s][0].split("digest#")[-1]
     found = chat_repair.repair_conversations(turns, present="there").collect()
     assert {r.audit for r in found if r.conv_id % 2 == 0} == {"KD" * 16} and {r.audit for r in found if r.conv_id % 2} == {"KDD" * 16}
+
+
+def test_masks_deal_their_bodies_over_tasks(spark):
+    from tarnscope.operators import masks as mk
+
+    boxes = mk.spread_pixels(pg.gridded(spark, SF, 10).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(400)))), ["body", "copy"], 100.0)
+    assert boxes.rdd.getNumPartitions() > 4
