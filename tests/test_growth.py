@@ -69,3 +69,10 @@ def test_masks_deal_their_bodies_over_tasks(spark):
 
     boxes = mk.spread_pixels(pg.gridded(spark, SF, 10).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(400)))), ["body", "copy"], 100.0)
     assert boxes.rdd.getNumPartitions() > 4
+
+
+def test_closure_has_no_limit_of_rows(spark):
+    from tarnscope.operators.claims import cited_closure
+
+    refs = spark.range(600_000).select(F.concat(F.lit("c"), "id").alias("claim"), F.explode(F.array(F.concat(F.lit("s"), "id"), F.concat(F.lit("t"), "id"))).alias("cites"))
+    assert cited_closure(refs, refs).count() == 1_200_000
