@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnscope.operators import overlay as ov
-from tarnscope.operators.geometry import assign_primary_tile
+from tarnscope.operators.geometry import assign_primary_tile, by_shuffle
 from tarnscope.plans.geometry import LAKES, lakes, tiles
 from tarnscope.plans.registry import load, query
 
@@ -141,9 +141,9 @@ PLOTS = """WITH plots AS (SELECT c_custkey AS body, (c_custkey * 977 % 30000) /
   CAST(2 * (ceil(CASE WHEN body % 7 = 0 THEN sqrt(w * w + h * h) ELSE w END / 23e-4) + ceil(h / 23e-4)) AS BIGINT) AS pieces,
   CASE WHEN body % 7 = 0 THEN 0e0 ELSE round(w * h * pow(6371008.8 * pi() / 180, 2) * cos(radians(b + h / 2)), 1) END AS area_m2 FROM plots""")
 def _(spark, sf):
-    rings = plots(spark, sf)
+    rings = ov.spread_pieces(plots(spark, sf), ["body"], 0.0023)
     whole = ov.projected_edges(rings, ["body"], "epsg", 1.0)
     crossed = ov.crossed_edges(whole, ["body"], 250.0)
     pieces = ov.projected_edges(rings, ["body"], "epsg", 0.0023).groupBy("body").agg(F.count_if(F.col("x1").isNotNull() & F.col("y2").isNotNull()).alias("pieces"))
-    areas = ov.plane_areas(rings, ["body"]).join(pieces, "body").join(crossed, "body", "left")
+    areas = ov.plane_areas(rings, ["body"]).join(by_shuffle(pieces), "body").join(by_shuffle(crossed), "body", "left")
     return areas.select("body", F.coalesce("crossings", F.lit(0)).alias("crossings"), "pieces", (F.round("area_m2", 1) + 0.0).alias("area_m2"))

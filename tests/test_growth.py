@@ -76,3 +76,20 @@ def test_closure_has_no_limit_of_rows(spark):
 
     refs = spark.range(600_000).select(F.concat(F.lit("c"), "id").alias("claim"), F.explode(F.array(F.concat(F.lit("s"), "id"), F.concat(F.lit("t"), "id"))).alias("cites"))
     assert cited_closure(refs, refs).count() == 1_200_000
+
+
+def test_crossed_edges_are_dealt_by_polygon_and_meet_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(ov, "PIECES", 500)
+    rings = ov.spread_pieces(po.plots(spark, SF), ["body"], 0.0023)
+    assert rings.rdd.getNumPartitions() > 4
+    crossed = ov.crossed_edges(ov.projected_edges(rings, ["body"], "epsg", 1.0), ["body"], 250.0)
+    plan = crossed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_pairs_of_one_cell_are_found_whatever_their_order(spark):
+    star = [(0.0, 0.0), (40.0, 90.0), (80.0, 0.0), (0.0, 60.0), (80.0, 60.0), (0.0, 0.0)]
+    rings = spark.createDataFrame([(1, 0, 0, star), (2, 0, 0, [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 0.0)])], "body long, part int, ring int, pts array<struct<x:double,y:double>>")
+    for cell in (7.0, 1000.0):
+        found = ov.crossed_edges(ov.boundary_edges(rings, ["body"]), ["body"], cell).collect()
+        assert [(r.body, r.crossings) for r in found] == [(1, 5)]
