@@ -81,14 +81,13 @@ def mask_reason(value: Column, *, delivered: Column, in_tile: Column, nodata: Co
 def support_coverage(pixels: DataFrame, tiles: DataFrame, cell: float) -> DataFrame:
     """Support pixels no tile covers and pixels several tiles cover, per body.
 
-    Tiles are matched through square cells; a pixel meets the few tiles of its own cell.
+    Tiles are matched through square cells; a pixel meets the few tiles of its own cell. Pixels that are dealt by
+    body stay where they are.
     """
     from tarnscope.operators.geometry import point_in_tiles
 
-    hits = point_in_tiles(pixels, tiles.select("tile", "west", "south", "east", "north"), cell)
-    counted = hits.groupBy("body", "x", "y").agg(F.count(F.lit(1)).alias("_n"))
-    tagged = pixels.select("body", "x", "y", F.lit(0).cast("bigint").alias("_n")).unionByName(counted)
-    per_pixel = tagged.groupBy("body", "x", "y").agg(F.max("_n").alias("_n"))
+    hits = point_in_tiles(pixels.select("body", "x", "y"), tiles.select("tile", "west", "south", "east", "north"), cell, "left")
+    per_pixel = hits.groupBy("body", "x", "y").agg(F.count("tile").alias("_n"))
     uncovered = F.count_if(F.col("_n") == 0)
     return per_pixel.groupBy("body").agg(
         F.count(F.lit(1)).alias("support"), uncovered.alias("uncovered"), F.count_if(F.col("_n") > 1).alias("overlap"),

@@ -249,16 +249,17 @@ def tile_shares(rings: DataFrame, tiles: DataFrame, cell: float, buffer: float =
     return inside.select("body", "tile", *extra, share.alias("in_tile"))
 
 
-def point_in_tiles(points: DataFrame, tiles: DataFrame, cell: float) -> DataFrame:
-    """Tiles whose rectangle holds a point, matched by square cells first."""
+def point_in_tiles(points: DataFrame, tiles: DataFrame, cell: float, how: str = "inner") -> DataFrame:
+    """Tiles whose rectangle holds a point, matched by square cells first. With ``how`` left, a point that no tile
+    holds stays, without a tile."""
     located = points.withColumns({"_gx": F.floor(F.col("x") / cell), "_gy": F.floor(F.col("y") / cell)})
     placed = tiles.withColumn(
-        "_gx", F.explode(F.sequence(F.floor(F.col("west") / cell), F.floor(F.col("east") / cell)))
-    ).withColumn("_gy", F.explode(F.sequence(F.floor(F.col("south") / cell), F.floor(F.col("north") / cell))))
+        "_hx", F.explode(F.sequence(F.floor(F.col("west") / cell), F.floor(F.col("east") / cell)))
+    ).withColumn("_hy", F.explode(F.sequence(F.floor(F.col("south") / cell), F.floor(F.col("north") / cell))))
     inside = (
         (F.col("x") >= F.col("west")) & (F.col("x") < F.col("east")) & (F.col("y") >= F.col("south")) & (F.col("y") < F.col("north"))
     )
-    return located.join(placed, ["_gx", "_gy"]).where(inside).drop("_gx", "_gy")
+    return located.join(placed, (F.col("_gx") == F.col("_hx")) & (F.col("_gy") == F.col("_hy")) & inside, how).drop("_gx", "_gy", "_hx", "_hy")
 
 
 def assign_primary_tile(shares: DataFrame, body: str, tile: str, same_zone: str, share: str, margin: float = 0.01) -> DataFrame:

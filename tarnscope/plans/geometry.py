@@ -279,19 +279,27 @@ def _(spark, sf):
     )
 
 
+# Pixels of a task.
+PIXELS = 1_000_000
 SUPPORT = LAKES + """, px AS (SELECT body, l, b, w, h, l + unnest(range(0, w, 10)) AS px FROM lakes), pp AS (SELECT body, px, b + unnest(range(0, h, 10)) AS py FROM px),
 hit AS (SELECT body, px, py, count(tile) AS n FROM pp LEFT JOIN tiles ON px >= x AND px < x + 1098 AND py >= y AND py < y + 1098 GROUP BY ALL)"""
 
 
+def support_pixels(spark, sf):
+    """A pixel every 10 m of the box of every lake, the pixels of a lake in one task."""
+    span = lambda v: F.array_max(F.col("pts")[v]) - F.array_min(F.col("pts")[v])
+    dealt = geo.spread(lakes(spark, sf), ["body"], F.ceil(span("x") / 10) * F.ceil(span("y") / 10), PIXELS, whole=True)
+    m = geo.polygon_measures(dealt, ["body"])
+    xs = m.select("body", "south", "north", F.explode(F.sequence(F.col("west").cast("bigint"), F.col("east").cast("bigint") - 1, F.lit(10))).alias("x"))
+    return xs.select("body", "x", F.explode(F.sequence(F.col("south").cast("bigint"), F.col("north").cast("bigint") - 1, F.lit(10))).alias("y"))
+
+
 @query("support_coverage", "E24 E23", SUPPORT + """ SELECT body, count(*) AS support, count(*) FILTER (n = 0) AS uncovered, count(*) FILTER (n > 1) AS overlap,
   round_even(count(*) FILTER (n = 0) / CAST(count(*) AS DOUBLE), 6) AS uncovered_share FROM hit GROUP BY body""")
 def _(spark, sf):
     from tarnscope.operators.contract import support_coverage
 
-    m = geo.polygon_measures(lakes(spark, sf), ["body"])
-    xs = m.select("body", "south", "north", F.explode(F.sequence(F.col("west").cast("bigint"), F.col("east").cast("bigint") - 1, F.lit(10))).alias("x"))
-    pixels = xs.select("body", "x", F.explode(F.sequence(F.col("south").cast("bigint"), F.col("north").cast("bigint") - 1, F.lit(10))).alias("y"))
-    return support_coverage(pixels, tiles(spark, sf), cell=1000.0)
+    return support_coverage(support_pixels(spark, sf), tiles(spark, sf), cell=1000.0)
 
 
 # ------------------------------------------------------------------ header and grid checks

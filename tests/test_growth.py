@@ -93,3 +93,13 @@ def test_pairs_of_one_cell_are_found_whatever_their_order(spark):
     for cell in (7.0, 1000.0):
         found = ov.crossed_edges(ov.boundary_edges(rings, ["body"]), ["body"], cell).collect()
         assert [(r.body, r.crossings) for r in found] == [(1, 5)]
+
+
+def test_support_pixels_are_dealt_by_lake_and_stay_there(spark, monkeypatch):
+    from tarnscope.operators.contract import support_coverage
+
+    monkeypatch.setattr(pg, "PIXELS", 500)
+    pixels = pg.support_pixels(spark, SF)
+    assert pixels.rdd.getNumPartitions() > 4
+    plan = support_coverage(pixels, pg.tiles(spark, SF), cell=1000.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
