@@ -103,3 +103,22 @@ def test_support_pixels_are_dealt_by_lake_and_stay_there(spark, monkeypatch):
     assert pixels.rdd.getNumPartitions() > 4
     plan = support_coverage(pixels, pg.tiles(spark, SF), cell=1000.0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_records_of_a_stage_are_not_multiplied_before_their_shuffle(spark):
+    from tarnscope.plans import collation as pc
+
+    found = pc.equality(spark, SF)
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_records_change_nothing(spark):
+    from tarnscope.operators.collation import method_equality
+
+    kinds = "tile long, member long, band string, resolution int"
+    rows = [(1, m, "red", 10, run, "naive" if run == 3 else "mask", d, w) for m, run, d, w in ((1, 0, "a", "w"), (1, 1, "a", "w"), (1, 3, "w", None), (2, 0, "a", "w"), (2, 1, None, "w"), (3, 0, None, None))]
+    records = spark.createDataFrame(rows * 3, f"{kinds}, run long, method string, digest_all string, digest_wet string")
+    expected = spark.createDataFrame([(1, m, "red", 10, True) for m in (1, 2, 3, 4)], f"{kinds}, resolved boolean")
+    earlier = spark.createDataFrame([(1, 1, "red", 10, "w")], f"{kinds}, digest string")
+    found = {r.member: (r.records, r.mask_methods_identical, r.naive_identical, r.naive_matches_wet, r.matches_earlier) for r in method_equality(records, expected, earlier, ["tile", "member", "band", "resolution"], 4, "naive").collect()}
+    assert found == {1: (3, True, True, True, True), 2: (2, False, None, None, None), 3: (1, False, None, None, None), 4: (0, None, None, None, None)}
