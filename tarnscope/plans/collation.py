@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarnscope.operators import collation as co
 from tarnscope.operators.extraction import row_differences
 from tarnscope.plans.registry import load, query
-from tarnscope.session import scratch_path
+from tarnscope.session import cut_lineage, scratch_path
 
 KEYS = ["tile", "member", "band", "resolution"]
 BANDS = ("red", "nir", "scl", "nope")
@@ -90,7 +90,7 @@ def _(spark, sf):
     """A summary computed anew from the stored rows equals the first one; from changed rows it does not."""
     path = scratch_path(spark, "stage")
     rows = equality(spark, sf)
-    first = co.stage_levels(rows, LEVELS, CHECKS)
+    first = cut_lineage(co.stage_levels(rows, LEVELS, CHECKS))
     rows.write.parquet(path)
     stored = spark.read.schema(rows.schema).parquet(path)
     changed = stored.withColumn("complete", F.when(F.col("member") == stored.select(F.min("member")).scalar(), ~F.col("complete")).otherwise(F.col("complete")))
