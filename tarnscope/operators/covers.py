@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnscope.operators.geometry import by_shuffle
 from tarnscope.session import cut_lineage
 
 
@@ -119,17 +120,18 @@ def connected_groups(edges: DataFrame, node: str, link: str) -> DataFrame:
     """Nodes that share links, directly or in chain, labelled by their smallest node.
 
     Each round a node takes the smallest label around its links, then the label of that label,
-    which shortens chains. Label tables are checkpointed each round.
+    which shortens chains. Label tables are checkpointed each round. Both sides of every join grow with the nodes, so
+    none goes whole through the driver.
     """
     links = edges.select(node, link).distinct()
     labels = cut_lineage(links.groupBy(node).agg(F.min(node).alias("label")))
     while True:
-        around = links.join(labels, node).groupBy(link).agg(F.min("label").alias("_m"))
-        near = links.join(around, link).groupBy(node).agg(F.min("_m").alias("_near"))
+        around = links.join(by_shuffle(labels), node).groupBy(link).agg(F.min("label").alias("_m"))
+        near = links.join(by_shuffle(around), link).groupBy(node).agg(F.min("_m").alias("_near"))
         jump = labels.select(F.col(node).alias("_near"), F.col("label").alias("_far"))
-        moved = near.join(jump, "_near", "left").select(node, F.least("_near", F.coalesce("_far", "_near")).alias("label"))
+        moved = near.join(by_shuffle(jump), "_near", "left").select(node, F.least("_near", F.coalesce("_far", "_near")).alias("label"))
         moved = cut_lineage(moved)
-        changed = moved.join(labels.withColumnRenamed("label", "_old"), node).where(F.col("label") != F.col("_old"))
+        changed = moved.join(by_shuffle(labels.withColumnRenamed("label", "_old")), node).where(F.col("label") != F.col("_old"))
         done = changed.isEmpty()
         labels = moved
         if done:

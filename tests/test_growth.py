@@ -122,3 +122,18 @@ def test_repeated_records_change_nothing(spark):
     earlier = spark.createDataFrame([(1, 1, "red", 10, "w")], f"{kinds}, digest string")
     found = {r.member: (r.records, r.mask_methods_identical, r.naive_identical, r.naive_matches_wet, r.matches_earlier) for r in method_equality(records, expected, earlier, ["tile", "member", "band", "resolution"], 4, "naive").collect()}
     assert found == {1: (3, True, True, True, True), 2: (2, False, None, None, None), 3: (1, False, None, None, None), 4: (0, None, None, None, None)}
+
+
+def test_groups_send_no_table_through_the_driver(spark, monkeypatch):
+    from tarnscope.operators import covers
+
+    joins, kept = [], covers.cut_lineage
+
+    def watched(df):
+        joins.extend(line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line)
+        return kept(df)
+
+    monkeypatch.setattr(covers, "cut_lineage", watched)
+    edges = spark.range(200).select(F.col("id").alias("node"), F.explode(F.array(F.floor(F.col("id") / 3), F.floor((F.col("id") + 1) / 3) + 1000)).alias("link"))
+    assert {r.label for r in covers.connected_groups(edges, "node", "link").collect()} == {0}
+    assert joins and all("strategy=merge" in line for line in joins)
