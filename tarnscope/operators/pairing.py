@@ -83,7 +83,8 @@ def latest_created(items: DataFrame, keys: Sequence[str], *, created: str, item:
 
 def datastrips_by_name(l1c: DataFrame, *, name: str, strip: str) -> DataFrame:
     """Distinct datastrip starts per Level-1C name: how many, and the one when single."""
-    known = l1c.where(F.col(strip).isNotNull() & (F.length(name) > 0))
+    # Dealt by name at once: both groupings and a join by name find their rows in place.
+    known = l1c.where(F.col(strip).isNotNull() & (F.length(name) > 0)).select(name, strip).repartition(name)
     distinct = known.groupBy(name, strip).agg(F.lit(1).alias("one"))
     return distinct.groupBy(name).agg(
         F.count(F.lit(1)).alias("strips"), F.min(strip).alias("datastrip")
@@ -139,12 +140,9 @@ def products_by_item(pairs: DataFrame, *, product: str, generation: str, complet
     missing a layer are recorded without a pairing."""
     full = complete & F.col("c1_item").isNotNull()
     order = F.struct(F.col(generation), F.col(product))
-    winner = (
-        pairs.where(full)
-        .groupBy("c1_item")
-        .agg(F.max(order).getField(product).alias("_winner"))
-    )
-    joined = pairs.join(winner, "c1_item", "left")
+    # Products without an item are dealt by themselves, not all as one group of the missing item.
+    item = Window.partitionBy("c1_item", F.when(F.col("c1_item").isNull(), F.col(product)))
+    joined = pairs.withColumn("_winner", F.max(F.when(full, order)).over(item).getField(product))
     status = (
         F.when(~complete, "incomplete_layers")
         .when(F.col("c1_item").isNotNull() & (F.col(product) != F.col("_winner")), "superseded_same_datastrip")

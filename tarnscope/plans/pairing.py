@@ -61,9 +61,9 @@ def two_hop(spark, sf):
         "k", "product", "tile", "platform", "generation", nm.l1c_name(F.col("product")).alias("l1c")
     )
     later = F.when(k % 13 == 0, F.date_format(F.expr("sensing_ts + interval 25 seconds"), "yyyyMMdd'T'HHmmss"))
-    declared = p.where(k % 10 != 0).select(
-        nm.l1c_name(F.col("product")).alias("l1c"), F.explode(F.array_compact(F.array(F.col("sensing"), later))).alias("strip")
-    )
+    # The name is long to make; as a value of a row it is made once, not again in every condition on it.
+    named = p.where(k % 10 != 0).select(F.inline(F.array(F.struct(nm.l1c_name(F.col("product")).alias("l1c"), F.array(F.col("sensing"), later).alias("strips")))))
+    declared = named.select("l1c", F.explode("strips").alias("strip"))
     strips = pr.datastrips_by_name(declared, name="l1c", strip="strip")
     li = load(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("k"),

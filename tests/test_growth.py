@@ -137,3 +137,22 @@ def test_groups_send_no_table_through_the_driver(spark, monkeypatch):
     edges = spark.range(200).select(F.col("id").alias("node"), F.explode(F.array(F.floor(F.col("id") / 3), F.floor((F.col("id") + 1) / 3) + 1000)).alias("link"))
     assert {r.label for r in covers.connected_groups(edges, "node", "link").collect()} == {0}
     assert joins and all("strategy=merge" in line for line in joins)
+
+
+def test_products_meet_their_item_without_a_join_and_are_not_one_group_without_it(spark):
+    from tarnscope.operators.pairing import products_by_item
+
+    rows = [(f"p{i}", f"g{i % 3}", "i1" if i < 6 else None, i != 5, "datastrip" if i < 6 else "no_c1_item") for i in range(40)]
+    pairs = spark.createDataFrame(rows, "product string, generation string, c1_item string, whole boolean, pair_status string").repartition(4)
+    found = products_by_item(pairs, product="product", generation="generation", complete=F.col("whole"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" in plan
+    tasks = found.withColumn("task", F.spark_partition_id()).where("c1_item is null and status = 'no_c1_item'").select("task").distinct()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert tasks.count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    status = {r["product"]: (r.c1_item, r.status) for r in found.collect()}
+    assert status["p2"] == ("i1", "datastrip") and status["p4"] == ("i1", "superseded_same_datastrip")
+    assert status["p5"] == (None, "incomplete_layers") and status["p39"] == (None, "no_c1_item")
