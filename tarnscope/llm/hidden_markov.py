@@ -23,11 +23,13 @@ HEAD = 50_000
 # Words with emissions of their own in the first guess of the model; after one iteration all have them.
 COMMON = 2_000
 ITERATIONS = 3
-SAMPLE_TEXTS = 1_500
+# Rounds of the first guess at most, and the gain of a round, as a share of the log probability, that ends them.
+ROUNDS, GAIN = 20, 1e-4
 ADD = 0.1
 # Tokens of texts that are run through the recursions together.
 TOGETHER = 400_000
-KEPT = ("uid", "mark", "doc_id", "held_out", "learn")
+COUNTS = ", ".join(f"c{s} double" for s in range(STATES))
+KEPT = ("uid", "doc_id", "held_out", "learn")
 
 
 @dataclass
@@ -85,7 +87,7 @@ def encode_tokens(documents: DataFrame, head: list[bytes]) -> DataFrame:
             columns = [*(batch.column(c) for c in KEPT), pa.array(tokens, pa.binary()), pa.array(tails, pa.list_(pa.binary())), pa.array(places, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [*KEPT, "tokens", "tail", "places"])
 
-    return documents.mapInArrow(encode, "uid long, mark long, doc_id long, held_out boolean, learn boolean, tokens binary, tail array<binary>, places binary")
+    return documents.mapInArrow(encode, "uid long, doc_id long, held_out boolean, learn boolean, tokens binary, tail array<binary>, places binary")
 
 
 def posteriors(start: np.ndarray, move: np.ndarray, seen: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,30 +165,63 @@ class Smoothing:
         return (counts + self.kinds * overall) / (self.total + self.kinds)
 
 
-def first_model(texts: list[np.ndarray], counts: np.ndarray, rare: int, rest: float, rest_words: int, k: int) -> tuple[Model, np.ndarray]:
-    """States start as clusters of sampled texts by the commonest words. All other words start without a
-    state: returned is also the emission of a word, by its states, for each of its smoothed occurrences.
+def cluster_round(encoded: DataFrame, place: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, float]:
+    """One round of a mixture of states over all learning texts: the expected counts of the commonest words by state,
+    and the log probability of those words. Every task adds up its own, Spark adds up those of all tasks.
+
+    ``place`` says for every token of the head which of the commonest words it is, or -1.
+    """
+    shared = encoded.sparkSession.sparkContext.broadcast((place, np.log(shares / shares.sum(axis=0))))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, logs = shared.value
+        size, k = logs.shape
+        sums = np.zeros((size + 1, k))
+        for batch in batches:
+            tokens = [np.frombuffer(t, np.uint16) for t in batch.column("tokens").to_pylist()]
+            if not tokens:
+                continue
+            at, text = of[np.concatenate(tokens)], np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+            at, text = at[at >= 0], text[at >= 0]
+            score = np.stack([np.bincount(text, logs[at, s], len(tokens)) for s in range(k)], axis=1)
+            top = score.max(axis=1, keepdims=True)
+            own = np.exp(score - top)
+            whole = own.sum(axis=1, keepdims=True)
+            sums[size, 0] += (np.log(whole) + top).sum()
+            own /= whole
+            for s in range(k):
+                sums[:size, s] += np.bincount(at, own[text, s], size)
+        full = np.flatnonzero(sums.any(axis=1))
+        yield pa.record_batch([pa.array(full, pa.int32()), *(pa.array(np.ascontiguousarray(sums[full, s])) for s in range(k))], ["token", *(f"c{s}" for s in range(k))])
+
+    found = encoded.where("learn").select("tokens").mapInArrow(count, f"token int, {COUNTS}").groupBy("token").agg(*[F.sum(f"c{s}").alias(f"c{s}") for s in range(STATES)])
+    sums = np.zeros((len(shares) + 1, STATES))
+    for r in found.collect():  # one row for each of the commonest words at most
+        sums[r["token"]] = [r[f"c{s}"] for s in range(STATES)]
+    return sums[:-1], sums[-1, 0]
+
+
+def first_model(encoded: DataFrame, counts: np.ndarray, rare: int, rest: float, rest_words: int) -> tuple[Model, np.ndarray]:
+    """States start as clusters of all learning texts by the commonest words; the clusters start as the words' shares,
+    each changed by chance. All other words start without a state: returned is also the emission of a word, by
+    its states, for each of its smoothed occurrences.
 
     ``rest`` and ``rest_words`` count the tokens and words outside of the head.
     """
+    k = STATES
     order = np.argsort(-np.where(np.arange(len(counts)) == rare, -1.0, counts), kind="stable")
     common = order[order != rare][:COMMON]
     place = np.full(len(counts), -1)
     place[common] = np.arange(len(common))
-    bags = np.zeros((len(texts), len(common)))
-    for i, x in enumerate(texts):
-        at = place[x]
-        bags[i] = np.bincount(at[at >= 0], minlength=len(common))
-    rng = np.random.default_rng(3)
-    shares = bags[rng.permutation(len(texts))[:k]] if len(texts) else np.zeros((0, len(common)))
-    shares = np.vstack([shares, np.ones((k - len(shares), len(common)))]) + bags.sum(axis=0) / max(bags.sum(), 1) * 20 + 1e-3
-    own = np.full((len(texts), k), 1 / k)
-    for _ in range(20):
-        score = bags @ np.log(shares / shares.sum(axis=1, keepdims=True)).T
-        own = np.exp(score - score.max(axis=1, keepdims=True))
-        own /= own.sum(axis=1, keepdims=True)
-        shares = own.T @ bags + 1e-2
-    shares = shares.T + counts[common, None] / max(counts.sum() + rest, 1) * 50
+    shares = (counts[common, None] + 1e-2) * np.exp(np.random.default_rng(3).normal(0, 0.5, (len(common), k)))
+    before = None
+    for _ in range(ROUNDS if counts.sum() else 0):
+        found, now = cluster_round(encoded, place, shares)
+        shares = found + 1e-2
+        if before is not None and now - before <= GAIN * abs(now):
+            break
+        before = now
+    shares = shares + counts[common, None] / max(counts.sum() + rest, 1) * 50
     others = np.setdiff1d(np.arange(len(counts)), [*common, rare])
     left = rest + counts[others].sum() + ADD * (rest_words + len(others) + 1)
     part = (counts[common].sum() + ADD) / (counts[common].sum() + ADD + left)
@@ -209,9 +244,6 @@ def with_tails(encoded: DataFrame, tails: DataFrame) -> DataFrame:
     return encoded.where(F.size("tail") > 0).join(met, "uid").unionByName(plain)
 
 
-COUNTS = ", ".join(f"c{s} double" for s in range(STATES))
-
-
 def groups_of(batches: Iterator[pa.RecordBatch], model: Model, tail_emissions) -> Iterator[tuple]:
     """Groups of texts of one batch: their rows, tokens, emissions, lengths, the places of words outside of the
     head among the tokens, and which of the batch's such words they are."""
@@ -330,7 +362,7 @@ def score_texts(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     Tokens are words with A-Z in lower case, then one end. Words are counted over all learning texts, and
     every one of them has emissions of its own in every latent state, from its expected counts, which lean on
     its overall share. Those of the commonest words are sent to the tasks, all others are a table joined to the
-    texts. Baum-Welch runs over whole texts; counts are added up across partitions in doubles. ``score`` is
+    texts. The first guess of the states and Baum-Welch run over all learning texts, whole; counts are added up across partitions in doubles. ``score`` is
     the log10 probability of the whole text, ``base_score`` that of single words with ``ADD`` added to their counts.
 
     Null and empty texts have one token, the end. A null id is kept, and what ``held_out`` says of it counts.
@@ -338,7 +370,7 @@ def score_texts(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     Very long texts are scored whole, at about 130 bytes of memory a token; other columns are ignored; an
     empty table gives no rows.
     """
-    rows = documents.select(F.monotonically_increasing_id().alias("uid"), F.xxhash64(text).alias("mark"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(~held_out, F.lit(False)).alias("learn"), F.col(text).alias("text"))
+    rows = documents.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(~held_out, F.lit(False)).alias("learn"), F.col(text).alias("text"))
     vocabulary = written(count_words(rows.where("learn")), "vocabulary")
     totals = vocabulary.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).collect()[0]
     learnt = rows.where("learn").count()
@@ -348,10 +380,7 @@ def score_texts(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     encoded = written(encode_tokens(rows, [w for w, _ in head]), "tokens")
     rare = len(head)
     counts = np.array([*(c for _, c in head), 0, learnt], float)
-    share = SAMPLE_TEXTS / max(learnt, 1)
-    chosen = F.pmod("mark", F.lit(1_000_003)) < int(1_000_003 * min(1.0, share))
-    sample = encoded.where("learn").where(chosen).select("mark", "tokens").orderBy("mark", "tokens").limit(2 * SAMPLE_TEXTS).collect()
-    model, free = first_model([np.frombuffer(r["tokens"], np.uint16) for r in sample], counts, rare, totals["tokens"] - sum(c for _, c in head), totals["words"] - rare, STATES)
+    model, free = first_model(encoded, counts, rare, totals["tokens"] - sum(c for _, c in head), totals["words"] - rare)
     # Before the first iteration a word's only known count is its number, put down in one state.
     zero = [F.lit(0.0)] * (STATES - 1)
     rest = vocabulary.where(F.col("n") < head[-1][1]) if head else vocabulary

@@ -177,6 +177,24 @@ def test_every_word_has_emissions_of_its_own(spark, monkeypatch):
     assert got[1_000]["score"] > got[1_001]["score"] + 1 and got[1_000]["n_known"] == 9
 
 
+def test_first_guess_of_the_states_counts_every_learning_text(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rounds, one_round = [], hidden_markov.cluster_round
+
+    def watched(encoded, place, shares):
+        rounds.append((place, *one_round(encoded, place, shares)))
+        return rounds[-1][1:]
+
+    monkeypatch.setattr(hidden_markov, "cluster_round", watched)
+    docs = spark.range(5_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("both "), F.when(F.col("id") % 2 == 0, "even even").otherwise("odd"), F.lit(" all")).alias("text"))
+    assert hidden_markov.score_texts(docs, held_out=F.col("doc_id") >= 4_000, iterations=1).count() == 5_000
+    assert len(rounds) > 1
+    for place, found, _ in rounds:
+        # Head words by falling counts, then by their bytes: all, both, even, odd; then the end.
+        assert found[place[[0, 1, 2, 3, 5]]].sum(axis=1) == pytest.approx([4_000, 4_000, 4_000, 2_000, 4_000])
+
+
 def test_whole_texts_are_run_through(monkeypatch):
     """Expected counts of a text of 1,000 tokens beside short ones, by plain recursions without scaling."""
     rng = np.random.default_rng(9)
