@@ -222,6 +222,36 @@ def test_whole_texts_are_run_through(monkeypatch):
         assert mine == pytest.approx(want, rel=1e-8)
 
 
+def test_packs_of_texts_change_no_score(spark, odd_dir, monkeypatch):
+    monkeypatch.setattr(hidden_markov, "HEAD", 40)
+    monkeypatch.setattr(hidden_markov, "COMMON", 5)
+    scores = []
+    for pack in (1_000_000, 200):
+        monkeypatch.setattr(hidden_markov, "PACK", pack)
+        scores.append(sorted((r["doc_id"], r["n_known"], r["base_score"], r["score"]) for r in RUN["op6_hidden_markov_scores"](spark, odd_dir).collect()))
+    for a, b in zip(*scores, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2]) and a[3] == pytest.approx(b[3], rel=1e-5)
+
+
+def test_iterations_leave_one_table_and_no_shuffles(spark, monkeypatch):
+    """On disk after three iterations: the packs, what the last iteration wrote, and little else."""
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from tarnscope.session import shared_folder
+
+    monkeypatch.setattr(hidden_markov, "HEAD", 20)
+    tables = lambda: {p.name for p in Path(shared_folder(spark).removeprefix("file:")).glob("tarnscope-*")}
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: sum(Path(f).stat().st_size for f in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f and Path(f).exists())
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), F.col("id") * 7 + i) for i in range(20)]).alias("text"))
+    before, files = tables(), shuffled()
+    assert hidden_markov.score_texts(docs, held_out=F.col("doc_id") % 10 == 0).where("score < 0 AND n_tokens = 21").count() == 2_000
+    assert sorted(name.split("-")[1] for name in tables() - before) == ["counts", "tokens"]
+    assert shuffled() - files < 2_000_000
+
+
 def test_model_is_better_than_single_words_on_held_out_texts(spark):
     got = RUN["op6_hidden_markov_scores"](spark, SF).toPandas()
     held = got[got.held_out]
