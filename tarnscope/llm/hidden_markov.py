@@ -33,7 +33,7 @@ TOGETHER = 200_000
 # Texts lie in packs of about so many tokens; a longer text is a pack of its own.
 PACK = 1_000_000
 # Words that all packs together ask of one bucket, about, and buckets at least.
-ASKED, BUCKETS = 2_000_000, 16
+ASKED, BUCKETS = 500_000, 64
 # Counts of the head travel in so many slices, and are added up in so many groups before those are.
 SLICES, GROUPS = 32, 32
 # Expected counts travel as whole numbers of 1 / UNIT, so their sums depend on no order.
@@ -90,12 +90,17 @@ def whole(data: bytes) -> bytes:
 
 
 def planes(numbers: np.ndarray) -> bytes:
-    """Whole numbers byte by byte, all lowest bytes first: small ones take little room."""
-    return squeezed(np.ascontiguousarray(numbers, np.int64).reshape(-1).view(np.uint8).reshape(-1, 8).T.tobytes())
+    """Whole numbers from 0 on byte by byte, all lowest bytes first, in as many bytes as the largest has."""
+    numbers = np.ascontiguousarray(numbers, np.int64).reshape(-1)
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + squeezed(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
 
 
 def of_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(whole(data), np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
+    parts = np.frombuffer(whole(data[1:]), np.uint8).reshape(data[0], -1)
+    numbers = np.zeros((parts.shape[1], 8), np.uint8)
+    numbers[:, : data[0]] = parts.T
+    return numbers.view(np.int64).reshape(-1)
 
 
 class Numbers(dict):
@@ -130,9 +135,9 @@ def encode_tokens(documents: DataFrame, head: list[bytes], buckets: int) -> Data
         def output() -> pa.RecordBatch:
             words = np.empty(len(number.own), object)
             words[:] = number.own
-            order = sorted(range(len(words)), key=number.own.__getitem__)
-            of = np.fromiter((crc32(number.own[i]) % buckets for i in order), np.int64, len(order))
-            order = np.array(order, np.int64)[np.argsort(of, kind="stable")]
+            order = np.asarray(pc.sort_indices(pa.array(number.own, pa.binary()))).astype(np.int64)
+            of = np.array([*map(crc32, number.own)], np.int64)[order] % buckets
+            order = order[np.argsort(of, kind="stable")]
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order))
             flat = np.concatenate(parts)
